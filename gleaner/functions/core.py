@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space as browsers define it, as the inside of a character class.
-JS_SPACE = r"\t\n\x0B\f\r    -     　﻿"
+JS_SPACE = r"\t\n\x0B\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,7 +43,3 @@ def nonempty(text: Column) -> Column:
 
 def round_half_up(value: Column) -> Column:
     return F.floor(value + F.lit(0.5)).cast("int")
-
-
-def js_spaces_as_class(negate: bool = False) -> str:
-    return f"[{'^' if negate else ''}{JS_SPACE}]"
