@@ -153,7 +153,7 @@ def confusion_grid(feedback: DataFrame) -> DataFrame:
         feedback.filter(is_eligible())
         .groupBy("ai_recommendation")
         .pivot("preferred_recommendation", RECOMMENDATIONS)
-        .agg(F.count("*"))
+        .agg(F.count(F.lit(1)))
     )
     return (
         levels.join(counted, "ai_recommendation", "left")

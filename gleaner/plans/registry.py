@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import feedback, reading  # noqa: F401
+from . import contents, feedback, reading, scheduling  # noqa: F401
 from .inputs import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
