@@ -117,6 +117,20 @@ def _remove_dot_segments(path: Column) -> Column:
     ).otherwise(path)
 
 
+def _escape(text: Column, extra: str) -> Column:
+    """Percent-encode white space, non-ASCII characters and the given ones."""
+    unsafe = rf"[^\x21-\x7E]|[{extra}]"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?:{unsafe})++|[\x21-\x7E&&[^{extra}]]++"), F.lit(0))
+    encoded = F.array_join(
+        F.transform(
+            pieces,
+            lambda p: F.when(p.rlike(unsafe), F.replace(F.url_encode(p), F.lit("+"), F.lit("%20"))).otherwise(p),
+        ),
+        "",
+    )
+    return F.when(text.rlike(unsafe), encoded).otherwise(text)
+
+
 def absolute_url(raw: Column, base: Column) -> Column:
     """Resolve a link against its page; dangerous schemes give NULL."""
     link = F.regexp_replace(strip(raw), r"[\t\r\n]", "")
@@ -145,9 +159,9 @@ def absolute_url(raw: Column, base: Column) -> Column:
             .when(p["path"] == "", b_path)
             .otherwise(F.concat(F.regexp_replace(b_path, r"[^/]*\z", ""), p["path"]))
         )
-        path = F.replace(_remove_dot_segments(merged), F.lit(" "), F.lit("%20"))
+        path = _escape(_remove_dot_segments(merged), '"<>`{}')
         keep_query = same & ~own_authority & (p["path"] == "") & (p["query"] == "")
-        query = F.replace(F.when(keep_query, p["b_query"]).otherwise(p["query"]), F.lit(" "), F.lit("%20"))
+        query = _escape(F.when(keep_query, p["b_query"]).otherwise(p["query"]), "\"<>'")
         special = scheme.isin("http", "https", "ftp")
         default_port = F.when(scheme == "http", F.lit(":80")).when(scheme == "https", F.lit(":443"))
         shown = F.when(
@@ -156,7 +170,7 @@ def absolute_url(raw: Column, base: Column) -> Column:
         ).otherwise(authority)
         return F.when(
             same | special,
-            F.concat(scheme, F.lit("://"), shown, path, query, p["fragment"]),
+            F.concat(scheme, F.lit("://"), shown, path, query, _escape(p["fragment"], '"<>`')),
         )
 
     opaque = (_part(link, 1) != "") & ~F.lower(_part(link, 1)).isin("http", "https", "ftp")

@@ -196,7 +196,7 @@ SELECT *, CASE WHEN n1 >= 2 THEN CASE WHEN n1 <= 10 THEN 1 END WHEN n2 >= 2 THEN
 FROM o_article_levels
 """
 ORACLE_VIEWS["o_sections"] = """
-SELECT doc_id, level, text AS title, line_no AS start_line, end_line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS ord
+SELECT doc_id, level, text AS title, line_no AS start_line, CAST(end_line AS INT) AS end_line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS ord
 FROM (SELECT h.*, p.primary_level, p.title_line,
              coalesce(lead(h.line_no) OVER (PARTITION BY h.doc_id ORDER BY h.line_no), h.n_lines) AS end_line
       FROM o_article_headings h JOIN o_article_primary p USING (doc_id) WHERE h.level <= p.primary_level)
@@ -240,6 +240,35 @@ SELECT b.*, CASE WHEN translatable AND (doc_id + block_no) % 5 <> 0 THEN 'T: ' |
 FROM o_blocks b
 """
 
+# Blocks of the articles: runs of non-blank lines.
+ORACLE_VIEWS["o_article_blocks"] = """
+SELECT *, 'b' || block_no AS id, CASE WHEN translatable AND (doc_id + block_no) % 5 <> 0 THEN CASE WHEN kind = 'heading' THEN src || ' (T)' ELSE 'T: ' || src END END AS translated
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start_line) AS INT) AS block_no, kind NOT IN ('image', 'separator') AS translatable
+      FROM (SELECT doc_id, start_line, end_line, src,
+                   CASE WHEN regexp_matches(src, '^!\\[[^\\]]*\\]\\([^)]+\\)$') THEN 'image'
+                        WHEN regexp_matches(src, '^([*][*\\s]*|-[-\\s]*|_[_\\s]*)$') AND length(regexp_replace(src, '\\s', '', 'g')) >= 3 THEN 'separator'
+                        WHEN regexp_matches(f, '^#{1,6}\\s') THEN 'heading' WHEN f LIKE '>%' THEN 'quote' WHEN regexp_matches(f, '^([-+*]|[0-9]+[.)])\\s') THEN 'list'
+                        WHEN contains(f, '|') AND contains(src, chr(10)) THEN 'table' ELSE 'paragraph' END AS kind
+            FROM (SELECT *, string_split(src, chr(10))[1] AS f
+                  FROM (SELECT doc_id, min(line_no) AS start_line, max(line_no) + 1 AS end_line, trim(string_agg(line, chr(10) ORDER BY line_no)) AS src
+                        FROM (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM o_article_lines WHERE trim(line) <> '')
+                        GROUP BY doc_id, island))))
+"""
+
+# Open blocks of the translation tasks, and their greedy packing as a recursion.
+ORACLE_VIEWS["o_open"] = """
+SELECT doc_id, id, src, length(src) AS len, row_number() OVER (PARTITION BY doc_id ORDER BY block_no) AS k
+FROM o_translated WHERE translatable AND NOT (translated IS NOT NULL AND (block_no - 1) % 4 = 3)
+"""
+ORACLE_VIEWS["o_packed"] = """
+SELECT doc_id, k, len AS chars, 1 AS n, 1 AS batch_no FROM o_open WHERE k = 1
+UNION ALL
+SELECT b.doc_id, b.k, CASE WHEN p.n >= 12 OR p.chars + b.len > 6000 THEN b.len ELSE p.chars + b.len END,
+       CASE WHEN p.n >= 12 OR p.chars + b.len > 6000 THEN 1 ELSE p.n + 1 END,
+       CASE WHEN p.n >= 12 OR p.chars + b.len > 6000 THEN p.batch_no + 1 ELSE p.batch_no END
+FROM o_packed p JOIN o_open b ON b.doc_id = p.doc_id AND b.k = p.k + 1
+"""
+
 
 def _sides(name: str) -> tuple[str, str]:
     view = VIEWS[name]
@@ -252,18 +281,19 @@ _NAME = re.compile(r"\b([vo]_[a-z_]+)\b")
 def oracle(sql: str) -> str:
     """Complete check query: the named helper relations become CTEs."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in dict.fromkeys(_NAME.findall(text)):
             body = ORACLE_VIEWS.get(name) or (name in VIEWS and _sides(name)[1])
-            if body and name not in order:
+            if body and name not in seen:
+                seen.add(name)
                 visit(body)
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(sql)
     ctes = ", ".join(f"{n} AS ({(ORACLE_VIEWS.get(n) or _sides(n)[1]).strip()})" for n in order)
-    return f"WITH {ctes} {sql.strip()}" if order else sql.strip()
+    return f"WITH RECURSIVE {ctes} {sql.strip()}" if order else sql.strip()
 
 
 class Inputs:
