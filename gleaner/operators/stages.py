@@ -147,16 +147,15 @@ def advance_stage(jobs: DataFrame, results: DataFrame) -> DataFrame:
         .when(F.col("stage") == "analyze", "evaluate")
         .otherwise("completed")
     )
-    rows = rows.withColumn("new_stage", F.when(passed, next_stage).otherwise(F.col("stage")))
-    done = passed & (F.col("new_stage") == "completed")
-    return (
-        rows.withColumn("status", F.when(failed, "failed").when(done, "completed").otherwise(F.col("status")))
-        .withColumn(
-            "last_error", F.when(failed, F.col("new_error")).when(done, F.lit(None)).otherwise(F.col("last_error"))
-        )
-        .withColumn("stage", F.col("new_stage"))
-        .drop("new_stage", "new_error", "decision", "has_result")
-    )
+    stage = F.when(passed, next_stage).otherwise(F.col("stage"))
+    done = passed & (stage == "completed")
+    return rows.withColumns(
+        {
+            "stage": stage,
+            "status": F.when(failed, "failed").when(done, "completed").otherwise(F.col("status")),
+            "last_error": F.when(failed, F.col("new_error")).when(~done, F.col("last_error")),
+        }
+    ).drop("new_error", "decision", "has_result")
 
 
 def pause_running(jobs: DataFrame, gate_is_open: Column) -> DataFrame:
