@@ -171,15 +171,17 @@ def remove_by_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 # --- scoring helpers --------------------------------------------------------
-def class_weight(enabled: bool = True) -> Column:
+def as_flag(value: bool | Column) -> Column:
+    return value if isinstance(value, Column) else F.lit(value)
+
+
+def class_weight(enabled: bool | Column = True) -> Column:
     """±25 for each of class and id that looks bad or good."""
-    if not enabled:
-        return F.lit(0)
     weight = F.lit(0)
     for value in (attr("class"), attr("id")):
         weight = weight - F.when(value.rlike(f"(?i){NEGATIVE}"), 25).otherwise(0)
         weight = weight + F.when(value.rlike(f"(?i){POSITIVE}"), 25).otherwise(0)
-    return weight
+    return F.when(as_flag(enabled), weight).otherwise(0)
 
 
 def match_string() -> Column:
@@ -211,25 +213,23 @@ def is_hidden() -> Column:
     )
 
 
-def prune_nodes(nodes: DataFrame, meta: DataFrame, strip_unlikely: bool = True) -> DataFrame:
+def prune_nodes(nodes: DataFrame, meta: DataFrame, strip_unlikely: bool | Column = True) -> DataFrame:
     """Drop hidden, unlikely and empty nodes, the byline and a repeated title.
 
     ``meta``: page_id, title, byline.  Adds ``byline``, the page's author line.
     """
     element = F.col("text").isNull()
     hidden = element & (is_hidden() | ((attr("aria-modal") == "true") & (attr("role") == "dialog")))
-    unlikely = F.lit(False)
-    if strip_unlikely:
-        guarded = inside(is_tag("table", "code"), or_self=False)
-        unlikely = element & (
-            (
-                match_string().rlike(f"(?i){UNLIKELY}")
-                & ~match_string().rlike(f"(?i){MAYBE}")
-                & ~guarded
-                & ~is_tag("html", "body", "a")
-            )
-            | attr("role").isin(UNLIKELY_ROLES)
+    guarded = inside(is_tag("table", "code"), or_self=False)
+    unlikely = element & as_flag(strip_unlikely) & (
+        (
+            match_string().rlike(f"(?i){UNLIKELY}")
+            & ~match_string().rlike(f"(?i){MAYBE}")
+            & ~guarded
+            & ~is_tag("html", "body", "a")
         )
+        | attr("role").isin(UNLIKELY_ROLES)
+    )
     measured = subtree_sums(
         nodes,
         {
@@ -326,7 +326,7 @@ def data_tables(nodes: DataFrame) -> DataFrame:
     return sums.withColumn("data_table", F.when(is_tag("table"), verdict)).select(*nodes.columns, "data_table")
 
 
-def _fishy(tags: list[str], weights: bool) -> Column:
+def _fishy(tags: list[str], weights: bool | Column) -> Column:
     """Condition of conditional cleaning over the measured columns of a node."""
     length, is_list = F.col("_len"), is_tag("ul", "ol") | (F.col("_list") > F.col("_len") * 0.9)
     density = F.when(length > 0, F.col("_link") / length).otherwise(F.lit(0.0))
@@ -397,10 +397,12 @@ def _measure(nodes: DataFrame) -> DataFrame:
     )
 
 
-def clean_conditionally(nodes: DataFrame, tags: list[str], weights: bool = True) -> DataFrame:
+def clean_conditionally(
+    nodes: DataFrame, tags: list[str], weights: bool | Column = True, enabled: bool | Column = True
+) -> DataFrame:
     """Drop blocks of the given tags that look like forms, menus or ads.
 
     ``nodes`` carry ``data_table``.  All blocks of a pass are judged on the same
     state; the caller runs inner kinds of block before outer ones.
     """
-    return without(_measure(nodes), _fishy(tags, weights)).select(*nodes.columns)
+    return without(_measure(nodes), as_flag(enabled) & _fishy(tags, weights)).select(*nodes.columns)

@@ -36,7 +36,7 @@ SCOPE = frozenset({"td", "th", "caption", "table", "html", "button"})
 NEAREST = 5
 
 _TREE_DDL = (
-    "array<struct<src: int, parent: int, last: int, depth: int, ctx: string, near: array<int>, ptag: string>>"
+    "array<struct<src: int, parent: int, last: int, depth: int, ctx: string, near: array<int>, ptag: string, cells: array<int>, table_pos: int>>"
 )
 
 
@@ -54,7 +54,12 @@ def link_nodes(names) -> list[tuple]:
         if stack and stack[-1][1] in ("li", "blockquote"):
             ctx += stack[-1][1][0]
         near = [entry[0] for entry in stack[: -NEAREST - 1 : -1]]
-        nodes.append([src, parent, len(nodes), len(stack), ctx, near, stack[-1][1] if stack else ""])
+        # Enclosing cells and nearest table: what a table needs to find its content.
+        up = nodes[parent] if stack else None
+        above = stack[-1][1] if stack else ""
+        cells = up[7] + [parent] if above in ("td", "th") else up[7] if up else []
+        table = parent if above == "table" else up[8] if up else -1
+        nodes.append([src, parent, len(nodes), len(stack), ctx, near, above, cells, table])
         if not leaf:
             stack.append((len(nodes) - 1, name, src))
 
@@ -136,12 +141,12 @@ def link_nodes(names) -> list[tuple]:
 
 
 def _link(names: pd.Series) -> pd.Series:
-    fields = ("src", "parent", "last", "depth", "ctx", "near", "ptag")
+    fields = ("src", "parent", "last", "depth", "ctx", "near", "ptag", "cells", "table_pos")
     return names.map(lambda page: [dict(zip(fields, node)) for node in link_nodes(page)])
 
 
-# Named character references, taken from the standard library's table.
-_ENTITIES = {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+# Named character references: the HTML 4 set, taken from the standard library.
+_ENTITIES = {**{name: chr(code) for name, code in html.entities.name2codepoint.items()}, "apos": "'"}
 
 
 def decode_entities(text: Column) -> Column:
@@ -230,12 +235,14 @@ def html_tokens(pages: DataFrame) -> DataFrame:
         F.col("node.ctx").alias("ctx"),
         F.col("node.near").alias("near"),
         F.col("node.ptag").alias("ptag"),
+        F.col("node.cells").alias("cells"),
+        F.col("node.table_pos").alias("table_pos"),
         F.get("names", F.col("node.src")).alias("name"),
         F.get("tokens", F.col("node.src")).alias("raw"),
     )
     is_text = F.col("name").isin("#", "~")
     return flat.select(
-        "page_id", "pos", "parent", "last", "depth", "ctx", "near", "ptag",
+        "page_id", "pos", "parent", "last", "depth", "ctx", "near", "ptag", "cells", "table_pos",
         F.when(is_text, F.lit("#text")).otherwise(F.col("name")).alias("tag"),
         F.when(~is_text, parse_attributes(F.col("raw"))).alias("attrs"),
         F.when(is_text, decode_entities(F.col("raw"))).alias("text"),
