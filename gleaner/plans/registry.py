@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import contents, feedback, reading, scheduling, stages, structure, text  # noqa: F401
+from . import contents, extraction, feedback, reading, scheduling, stages, structure, text  # noqa: F401
 from .inputs import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
