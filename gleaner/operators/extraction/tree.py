@@ -275,7 +275,12 @@ def subtree_sums(nodes: DataFrame, values: dict[str, Column]) -> DataFrame:
     """
     own = nodes.withColumns({f"_v_{n}": v for n, v in values.items()})
     marked = own.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("_end"))
-    marked = marked.withColumn("_at", F.when(F.col("_end") == 0, F.col("pos")).otherwise(F.col("last")))
+    # The end row carries its place only, so sorting it costs next to nothing.
+    kept = [c for c in own.columns if c not in ("page_id", "pos")]
+    marked = marked.select(
+        "page_id", "pos", "_end", F.when(F.col("_end") == 0, F.col("pos")).otherwise(F.col("last")).alias("_at"),
+        *[F.when(F.col("_end") == 0, F.col(c)).alias(c) for c in kept],
+    )
     running = by_page("_at", "_end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = {
         f"_c_{n}": F.sum(F.when(F.col("_end") == 0, F.col(f"_v_{n}"))).over(running) for n in values

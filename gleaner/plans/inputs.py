@@ -311,9 +311,19 @@ class Inputs:
             self._cache[name] = self._open(name)
         return self._cache[name]
 
+    def _spread(self, df: DataFrame, name: str) -> DataFrame:
+        """Texts that fit fewer splits than there are cores are dealt out to all of them.
+
+        A large table has more splits than cores and is left as it is read.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        if name not in ("documents", "pages") or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+            return df
+        return df.repartition(cores, df.columns[0])
+
     def _open(self, name: str) -> DataFrame:
         if name not in VIEWS:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return self._spread(self.spark.read.parquet(f"{self.folder}/{name}.parquet"), name)
         sql = _sides(name)[0]
         used = [n for n in [*TABLES, *VIEWS] if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)]
         for n in used:
