@@ -93,8 +93,8 @@ def test_extraction_of_pages(spark):
     pages = frame(spark, article, "<html><head><title>Blank</title></head><body></body></html>", url="https://e.org/a")
     rows = {r.page_id: r for r in pg.extract_pages(pages, captured_at=F.lit("2024-01-01")).collect()}
     good = rows[0]
-    assert good.ok and good.engine_id == "readability" and good.level == "warning" and not good.fallback
-    assert good.author == "Ann Lee" and good.site == "Site" and good.language == "en" and good.title == "The title of the page | Site" or good.title
+    assert good.ok and good.engine_id == "readability" and good.level == "good" and not good.fallback
+    assert good.author == "Ann Lee" and good.site == "Site" and good.language == "en" and good.title == "The title of the page"
     assert "## Part" in good.markdown and "share it" not in good.markdown and "home" not in good.markdown and "Ann Lee\n\n" not in good.markdown
     assert good.markdown.startswith('---\ntitle: "')
     blank = rows[1]
