@@ -193,7 +193,7 @@ def test_count_tables(evaluate):
 def test_long_runs_do_not_overflow(evaluate):
     docs = ["-" * 20000, "```\n" + "x\n" * 30000, "a\n" * 30000, "|" + "---|" * 5000, "---\n" + "k: v\n" * 20000]
     got = evaluate([(d,) for d in docs], "c string", b=md.split_blocks(F.col("c")), s=md.section_index(F.col("c"), F.lit("")), m=q.quality_report(F.col("c")))
-    assert [r.b[0].kind for r in got] == ["separator", "code", "paragraph", "paragraph", "separator"] or len(got) == 5
+    assert [r.b[0].kind for r in got] == ["separator", "code", "paragraph", "paragraph", "paragraph"]
 
 
 def test_language(evaluate):
