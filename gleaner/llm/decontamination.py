@@ -8,7 +8,6 @@ there are candidates, which a longest common subsequence and an answer check dec
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import chunks, columns
 
-WHITE = re.compile(rb"[\x20\x09-\x0d]+")
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MATCHES = "doc_id long, item_id long, cosine double, lcs int, item_words int, answer_ratio double, first_word long"
 
@@ -28,18 +26,22 @@ MATCHES = "doc_id long, item_id long, cosine double, lcs int, item_words int, an
 class Search:
     """``window`` words (a multiple of ``stride``) every ``stride`` words make a passage; ``rank`` and ``extra`` columns of the SVD's sketch.
 
+    A word weighs its IDF to the power ``emphasis``.
+
     The space is fitted on at most about ``fit_documents`` documents, taken by the hash
     of their id; every passage of every document is searched in it. A candidate has a
-    cosine of ``cosine`` or more. It is a leak if the common subsequence has ``overlap``
+    cosine of ``cosine`` or more and ``shared`` of the item's distinct words. It is a leak if the common subsequence has ``overlap``
     of the item's words, or ``partial`` of them and ``answer`` of those of its last sentence.
     """
 
-    window: int = 48
+    window: int = 32
     stride: int = 16
-    rank: int = 32
+    rank: int = 128
     extra: int = 16
-    fit_documents: int = 20_000
-    cosine: float = 0.35
+    emphasis: float = 2.0
+    fit_documents: int = 8_000
+    cosine: float = 0.4
+    shared: float = 0.4
     overlap: float = 0.75
     partial: float = 0.6
     answer: float = 0.8
@@ -76,11 +78,28 @@ def read_items(benchmark: DataFrame, id: str, text: str) -> Items:
     return Items([i for i, _ in found.values()], [list(w) for w in found], [a for _, a in found.values()], terms)
 
 
-def term_numbers(texts: list[bytes], terms: dict[bytes, int]) -> tuple[list[np.ndarray], list[list[bytes]]]:
-    """Term of every word of each text (len(terms) for any other word), and the words."""
-    other, get = len(terms), terms.get
-    words = [normal_words(t) for t in texts]
-    return [np.fromiter((get(w, other) for w in ws), np.int64, len(ws)) for ws in words], words
+class TermNumbers(dict):
+    """Number of each raw word met: its term, ``len(terms)`` for any other word, -1 for punctuation only."""
+
+    def __init__(self, terms: dict[bytes, int]):
+        super().__init__()
+        self.terms = terms
+
+    def __missing__(self, raw: bytes) -> int:
+        word = raw.strip(EDGES)
+        self[raw] = number = self.terms.get(word, len(self.terms)) if word else -1
+        return number
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Numbers of the words of each text."""
+        if len(self) > 300_000:
+            self.clear()
+        out = []
+        for data in texts:
+            words = data.lower().split()
+            numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            out.append(numbers[numbers >= 0])
+        return out
 
 
 def blocks(numbers: list[np.ndarray], other: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,11 +145,11 @@ def document_frequencies(rows: DataFrame, items: Items) -> tuple[np.ndarray, int
     size = len(items.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, seen = terms.value, np.zeros(size + 1, np.int64), 0
+        known, total, seen = TermNumbers(terms.value), np.zeros(size + 1, np.int64), 0
         for _, texts in chunks(batches):
-            for data in texts:
-                met = {known[w] for w in set(normal_words(data)) if w in known}
-                total[list(met)] += 1
+            numbers = known.of(texts)
+            keys = np.concatenate(numbers) + np.repeat(np.arange(len(texts)), [len(x) for x in numbers]) * (size + 1)
+            total[:size] += np.bincount(np.unique(keys) % (size + 1), minlength=size + 1)[:size]
             seen += len(texts)
         total[size] = seen
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["term", "n"])
@@ -157,11 +176,10 @@ def latent_space(rows: DataFrame, items: Items, idf: np.ndarray, search: Search)
         sent = spark.sparkContext.broadcast(q)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((size, wide))
+            known, total = TermNumbers(terms.value), np.zeros((size, wide))
             weighted = np.vstack([idf[:, None] * sent.value, np.zeros((1, wide))]).astype(np.float32)
             for _, texts in chunks(batches):
-                numbers, _ = term_numbers(texts, terms.value)
-                rows, counts = blocks(numbers, size, search.stride)
+                rows, counts = blocks(known.of(texts), size, search.stride)
                 y, first, owner = passage_sums(rows, counts, weighted, search)
                 # Each word of a passage adds the passage's y to its term: summed for each block first.
                 spread = np.zeros((len(rows), wide), np.float32)
@@ -187,9 +205,9 @@ def latent_space(rows: DataFrame, items: Items, idf: np.ndarray, search: Search)
     return q @ vectors[:, order]
 
 
-def subsequence(a: list[bytes], b: list[bytes]) -> int:
+def subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, a row of bits per step (Hyyrö's method)."""
-    places: dict[bytes, int] = {}
+    places: dict[int, int] = {}
     for i, w in enumerate(a):
         places[w] = places.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -213,43 +231,54 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, search: Search = Sear
     if not items.words:
         return spark.createDataFrame([], MATCHES)
     df, n = document_frequencies(rows, items)
-    idf = np.log((n + 1) / (df + 1)) + 0.05
+    idf = (np.log((n + 1) / (df + 1)) + 0.05) ** search.emphasis
     share = min(1.0, search.fit_documents / max(n, 1))
     fitted = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
     vectors = latent_space(fitted, items, idf, search)
     weighted = np.vstack([idf[:, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
     queries = np.stack([weighted[[items.terms[w] for w in ws]].sum(0) for ws in items.words])
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
+    queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     sent = spark.sparkContext.broadcast((items, weighted, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weighted, queries = sent.value
-        wanted = [Counter(w) for w in items.words]
+        other, known = len(items.terms), TermNumbers(items.terms)
+        wanted = [[items.terms[w] for w in ws] for ws in items.words]
+        answers = [[items.terms[w] for w in ws] for ws in items.answers]
+        # Distinct terms of each item in a rectangle, filled up with a number that no word has.
+        distinct = [list(dict.fromkeys(w)) for w in wanted]
+        table = np.full((len(wanted), max(map(len, distinct))), other + 1, np.int64)
+        for q, w in enumerate(distinct):
+            table[q, : len(w)] = w
+        need = np.array([search.shared * len(w) for w in distinct])
         for part, texts in chunks(batches):
-            numbers, words = term_numbers(texts, items.terms)
-            rows, counts = blocks(numbers, len(items.terms), search.stride)
-            vectors, first, owner = passage_sums(rows, counts, weighted, search)
-            first = (first - (np.cumsum(counts) - counts)[owner]) * search.stride
+            numbers = known.of(texts)
+            rows, counts = blocks(numbers, other, search.stride)
+            vectors, start, owner = passage_sums(rows, counts, weighted, search)
+            last = np.cumsum(counts)[owner] - 1
+            first = (start - (np.cumsum(counts) - counts)[owner]) * search.stride
             norms = np.linalg.norm(vectors, axis=1)
-            near = (vectors / np.maximum(norms, 1e-12)[:, None]) @ queries.T
             best: dict[tuple[int, int], tuple] = {}
-            for p, q in zip(*np.nonzero((near >= search.cosine) & (norms > 0)[:, None]), strict=True):
-                item, own = items.words[q], words[owner[p]]
-                begin = max(0, first[p] - len(item))
-                passage = own[begin : first[p] + search.window + len(item)]
-                least = search.partial * len(item)
-                if sum((wanted[q] & Counter(passage)).values()) < least:  # an upper bound of the subsequence
-                    continue
-                lcs = subsequence(item, passage)
-                if lcs < least:
-                    continue
-                answer = items.answers[q]
-                said = subsequence(answer, passage) / len(answer)
-                if lcs >= search.overlap * len(item) or said >= search.answer:
-                    found = (lcs, float(near[p, q]), said, int(first[p]))
-                    key = (int(owner[p]), int(q))
-                    if key not in best or (found[0], found[1]) > best[key][:2]:
-                        best[key] = found
+            for at in range(0, len(vectors), 4_096):
+                end = min(at + 4_096, len(vectors))
+                near = vectors[at:end] @ queries.T
+                p, q = np.nonzero((near >= search.cosine * norms[at:end, None]) & (norms[at:end, None] > 0))
+                present = np.zeros((end - at, other + 2), bool)
+                for shift in range(search.window // search.stride):
+                    inside = np.flatnonzero(start[at:end] + shift <= last[at:end])
+                    present[inside[:, None], rows[start[at:end][inside] + shift]] = True
+                both = np.concatenate([present[p[i : i + 50_000, None], table[q[i : i + 50_000]]].sum(1) for i in range(0, len(p), 50_000)]) if len(p) else np.zeros(0)
+                for i in np.flatnonzero(both >= need[q]):
+                    k, item, begin = int(owner[at + p[i]]), int(q[i]), int(first[at + p[i]])
+                    size = len(wanted[item])
+                    passage = numbers[k][max(0, begin - size) : begin + search.window + size].tolist()
+                    lcs = subsequence(wanted[item], passage)
+                    if lcs < search.partial * size:
+                        continue
+                    said = subsequence(answers[item], passage) / len(answers[item])
+                    found = (lcs, float(near[p[i], item] / norms[at + p[i]]), said, begin)
+                    if (lcs >= search.overlap * size or said >= search.answer) and found[:2] > best.get((k, item), (-1,))[:2]:
+                        best[k, item] = found
             ids = part.column(0).to_pylist()
             out = [(ids[k], i, cos, lcs, len(items.words[q]), said, at) for (k, q), (lcs, cos, said, at) in sorted(best.items()) for i in items.ids[q]]
             cols = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
