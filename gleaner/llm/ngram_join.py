@@ -1,10 +1,11 @@
 """N-gram Jaccard join by parity sketches, and one document kept of each group of near copies.
 
-Every distinct set of shingles is hashed into a sketch of as many 64-bit segments as
-its size band allows different shingles, plus one. A shingle flips one bit, so two sets
-within the threshold agree in one whole segment at least (pigeonhole), and the bits in
-which two sketches differ never exceed the true difference. Pairs that share a segment
-are verified on their exact sets.
+Every distinct set of shingles is dealt into segments, more than its size band allows
+different shingles, and each segment is the exclusive or of its shingles' hashes. Two
+sets within the threshold have the same shingles in some segments at least (pigeonhole);
+classes that agree in a segment are candidates. Sketches of parity bits, one flipped by
+each shingle, differ in no more bits than the sets do, which rules out most pairs that
+a bucket would still have to compare. What is left is verified on the exact sets.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .common import chunks, columns, connected_components, pairs
 
 #: Fixed odd multipliers of the hash.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, levels array<struct<level:int,bits:array<long>>>"
+SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
 SETS = "n_shingles long, f1 long, f2 long, shingles array<long>"
 
 
@@ -50,8 +51,13 @@ class Join:
     def begin(self, level: int) -> int:
         return math.ceil(self.growth**level)
 
-    def segments(self, level: int) -> int:
-        return self.most_different(2 * (self.begin(level + 1) - 1)) + 1
+    def different(self, level: int) -> int:
+        """Largest difference of two linked sets below the end of a band."""
+        return self.most_different(2 * (self.begin(level + 1) - 1))
+
+    def spare(self, level: int) -> int:
+        """Segments beyond those that pigeonhole needs: so many more agree, and so many of little content may be left out."""
+        return 1 + (self.different(level) + 1) // 6
 
     def levels(self, n: int) -> list[int]:
         """The band of a size, and the next one if a linked set may lie there; none where only equal sets link."""
@@ -63,7 +69,7 @@ class Join:
         while self.begin(level) > n:
             level -= 1
         above = [level + 1] if 100 * n >= self.percent * self.begin(level + 1) else []
-        return [x for x in [level, *above] if self.segments(x) > 1]
+        return [x for x in [level, *above] if self.different(x) > 0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -97,11 +103,28 @@ def shingle_set(data: bytes, known: WordHash, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def sketch(shingles: np.ndarray, level: int, join: Join) -> np.ndarray:
-    """Parity bits: every shingle flips one bit of one segment."""
-    bits = np.zeros(join.segments(level), np.uint64)
+def segment_keys(shingles: np.ndarray, level: int, join: Join) -> np.ndarray:
+    """Keys of the segments: the exclusive or of their shingles' hashes, mixed with band and place.
+
+    Linked sets have the same shingles in ``spare + 1`` segments or more. Segments of two
+    shingles or fewer are left out if there are at most ``spare``: then one of those
+    that agree is kept, by the other set as well, as it has the same shingles there.
+    """
+    n = join.different(level) + 1 + join.spare(level)
     mixed = mix(shingles + M1)
-    np.bitwise_xor.at(bits, ((mixed >> np.uint64(32)) % np.uint64(len(bits))).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
+    place = ((mixed >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+    found = np.zeros(n, np.uint64)
+    np.bitwise_xor.at(found, place, mixed)
+    little = np.bincount(place, minlength=n) <= 2
+    keys = mix(found * M1 + mix(np.arange(n, dtype=np.uint64) + (np.uint64(level) << np.uint64(40))))
+    return keys[~little] if little.sum() <= join.spare(level) else keys
+
+
+def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
+    """Bits of ``words`` 64-bit words, of which every shingle flips one."""
+    bits = np.zeros(words, np.uint64)
+    mixed = mix(shingles + M2)
+    np.bitwise_xor.at(bits, ((mixed >> np.uint64(32)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
     return bits
 
 
@@ -125,14 +148,11 @@ def sketches(rows: DataFrame, join: Join) -> DataFrame:
             if len(known) > 300_000:
                 known.clear()
             sets = [shingle_set(t, known, join.words) for t in texts]
-            levels = [join.levels(len(s)) for s in sets]
-            bits = [sketch(s, x, join) for s, own in zip(sets, levels, strict=True) for x in own]
-            offsets = np.r_[0, np.cumsum([len(x) for x in levels])].astype(np.int32)
-            inner = pa.StructArray.from_arrays([pa.array([x for own in levels for x in own], pa.int32()), ragged_array(bits)], ["level", "bits"])
+            keys = [np.concatenate([np.zeros(0, np.uint64), *[segment_keys(x, level, join) for level in join.levels(len(x))]]) for x in sets]
             prints = [fingerprints(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), inner)],
-                ["doc_id", "n_shingles", "f1", "f2", "levels"],
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), ragged_array(keys)],
+                ["doc_id", "n_shingles", "f1", "f2", "keys"],
             )
 
     return rows.mapInArrow(run, SKETCH)
@@ -154,10 +174,9 @@ def exact_sets(rows: DataFrame, join: Join) -> DataFrame:
     return rows.mapInArrow(run, SETS)
 
 
-def bucket_members(classes: DataFrame, join: Join) -> DataFrame:
-    """(key, level, node, n, rows) of every segment that two classes or more share."""
-    keys = classes.select("node", "n_shingles", F.explode("levels").alias("l")).select("node", F.col("n_shingles").alias("n"), "l.level", F.posexplode("l.bits").alias("place", "bits"))
-    keys = keys.select(F.xxhash64("level", "place", "bits").alias("key"), "level", "node", "n")
+def bucket_members(classes: DataFrame) -> DataFrame:
+    """(key, node, n, rows) of every segment that two classes or more share."""
+    keys = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
     return keys.join(shared, "key")
 
@@ -187,14 +206,19 @@ def verified(candidates: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return both.filter(100 * common >= join.percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def rest_pairs(active: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """Pairs within a bucket whose labels differ and whose sketches allow a link.
+def rest_pairs(active: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Pairs within a bucket whose labels differ and whose parity sketches allow a link.
 
     A bucket is dealt into blocks, and each pair of blocks is one group, so that no group
     is larger than two blocks. Only pairs that pass the bound leave a group.
     """
-    bits = classes.select("node", F.explode("levels").alias("l")).select("node", "l.level", "l.bits")
-    rows = active.join(bits, ["node", "level"]).withColumn("blocks", F.ceil(F.col("rows") / join.block).cast("int"))
+
+    @F.pandas_udf("array<long>")
+    def sketched(shingles: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([parity_sketch(np.asarray(x, np.int64).view(np.uint64), 1 + int(math.log2(k))).view(np.int64) for x, k in zip(shingles, n, strict=True)])
+
+    bits = sets.join(active.select("node").distinct(), "node", "left_semi").select("node", sketched("shingles", F.size("shingles")).alias("bits"))
+    rows = active.join(bits, "node").withColumn("blocks", F.ceil(F.col("rows") / join.block).cast("int"))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
@@ -202,17 +226,19 @@ def rest_pairs(active: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
         group = group.sort_values("node")
         node, n, label, own = (group[c].to_numpy() for c in ("node", "n", "label", "own"))
         low, high = group["low"].iloc[0], group["high"].iloc[0]
-        rows_bits = np.stack([np.asarray(b, np.int64) for b in group["bits"]]).view(np.uint64)
+        lengths = np.array([len(b) for b in group["bits"]])
+        table = np.zeros((len(group), lengths.max()), np.uint64)
+        for k, b in enumerate(group["bits"]):
+            table[k, : len(b)] = np.asarray(b, np.int64).view(np.uint64)
         a, b = [], []
-        for i in range(len(group)):
-            if own[i] != low:
-                continue
+        for i in np.flatnonzero(own == low):
             rest = np.flatnonzero((own == high) & (label != label[i]) & ((low != high) | (np.arange(len(group)) > i)))
+            rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * join.percent]
             for begin in range(0, len(rest), 256):
                 part = rest[begin : begin + 256]
                 bound = (n[part] + n[i]) * (100 - join.percent) // (100 + join.percent)
-                far = np.bitwise_count(rows_bits[part] ^ rows_bits[i]).sum(1, dtype=np.int64)
-                close = part[(far <= bound) & (np.minimum(n[part], n[i]) * 100 >= np.maximum(n[part], n[i]) * join.percent)]
+                far = np.bitwise_count(table[part] ^ table[i]).sum(1, dtype=np.int64)
+                close = part[(lengths[part] != lengths[i]) | (far <= bound)]
                 a += np.minimum(node[close], node[i]).tolist()
                 b += np.maximum(node[close], node[i]).tolist()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -234,9 +260,9 @@ def ngram_components(documents: DataFrame, join: Join = Join(), id: str = "doc_i
     """
     rows = columns(documents, doc_id=id, text=text)
     drawn = cut_lineage(sketches(rows, join))
-    classes = drawn.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("root"), F.first("levels").alias("levels"))
+    classes = drawn.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("root"), F.first("keys").alias("keys"))
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
-    members = cut_lineage(bucket_members(classes, join))
+    members = cut_lineage(bucket_members(classes))
     members, central = with_pivots(members)
     members = cut_lineage(members)
 
@@ -255,7 +281,7 @@ def ngram_components(documents: DataFrame, join: Join = Join(), id: str = "doc_i
     labels = ranked.groupBy("node").agg(F.max(F.struct("central", -F.col("mate"))).alias("best")).select("node", (-F.col("best.col2")).alias("label"))
     labelled = members.filter("node != pivot AND rows > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rest = rest_pairs(labelled.join(mixed, "key").select("key", "level", "node", "n", "label", "rows"), classes, join)
+    rest = rest_pairs(labelled.join(mixed, "key").select("key", "node", "n", "label", "rows"), sets, join)
     rest = rest.join(star, ["a", "b"], "left_anti")
     links = links.unionByName(verified(rest, sets, join))
 
