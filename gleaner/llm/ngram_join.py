@@ -36,13 +36,14 @@ class Join:
     """Shingles of ``words`` words; a pair links when percent-wise intersection >= ``percent`` of the union.
 
     A size band ends at ``growth`` times its begin. ``block`` members of a segment's
-    bucket are compared at once.
+    bucket are compared at once. ``bitmap`` bits tell which documents may be candidates.
     """
 
     words: int = 3
     percent: int = 90
     growth: float = 1.5
     block: int = 1_024
+    bitmap: int = 1 << 26
 
     def most_different(self, both: int) -> int:
         """Largest symmetric difference of two linked sets with so many elements in all."""
@@ -143,13 +144,19 @@ def ragged_array(rows: list[np.ndarray]) -> pa.ListArray:
 
 def sketches(rows: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, drawn = WordHash(), set()
         for part, texts in chunks(batches):
             if len(known) > 300_000:
                 known.clear()
+            if len(drawn) > 300_000:
+                drawn.clear()
             sets = [shingle_set(t, known, join.words) for t in texts]
-            keys = [np.concatenate([np.zeros(0, np.uint64), *[segment_keys(x, level, join) for level in join.levels(len(x))]]) for x in sets]
             prints = [fingerprints(s) for s in sets]
+            keys = []
+            for own, pair in zip(sets, prints, strict=True):
+                levels = [] if pair in drawn else join.levels(len(own))  # copies in one task have their keys once
+                keys.append(np.concatenate([np.zeros(0, np.uint64), *[segment_keys(own, level, join) for level in levels]]))
+                drawn.add(pair)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), ragged_array(keys)],
                 ["doc_id", "n_shingles", "f1", "f2", "keys"],
@@ -158,27 +165,46 @@ def sketches(rows: DataFrame, join: Join) -> DataFrame:
     return rows.mapInArrow(run, SKETCH)
 
 
-def exact_sets(rows: DataFrame, join: Join) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
-        for _, texts in chunks(batches, size=1 << 20):
-            if len(known) > 300_000:
-                known.clear()
-            sets = [shingle_set(t, known, join.words) for t in texts]
-            prints = [fingerprints(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), ragged_array(sets)],
-                ["n_shingles", "f1", "f2", "shingles"],
-            )
-
-    return rows.mapInArrow(run, SETS)
+def exact_sets(rows: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """Sets (n_shingles, f1, f2, shingles) of the documents whose id is a ``root`` of the wanted classes, and of a few more.
 
+    The wanted ids are sent as a bitmap of their hashes, which has ``bitmap`` bits at any
+    size of the input; where it fills up, more sets are built than needed, none is missed.
+    """
+    slot = F.pmod(F.xxhash64("root"), F.lit(join.bitmap))
+    words = wanted.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("slot", F.lit(32)).cast("int"))).alias("bits")).toPandas()
+    bitmap = np.zeros(join.bitmap // 32, np.uint32)
+    bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
 
-def bucket_members(classes: DataFrame) -> DataFrame:
-    """(key, node, n, rows) of every segment that two classes or more share."""
-    keys = classes.select("node", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
-    return keys.join(shared, "key")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for batch in batches:
+            slots = batch.column(0).to_numpy(zero_copy_only=False)
+            hit = (sent.value[slots // 32] >> (slots % 32).astype(np.uint32)) & 1 == 1
+            for _, texts in chunks(iter([batch.filter(pa.array(hit))]), size=1 << 20):
+                if len(known) > 300_000:
+                    known.clear()
+                sets = [shingle_set(t, known, join.words) for t in texts]
+                prints = [fingerprints(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), ragged_array(sets)],
+                    ["n_shingles", "f1", "f2", "shingles"],
+                )
+
+    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(join.bitmap)).alias("slot"), "text").mapInArrow(run, SETS)
+
+
+def bucket_members(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, node, n, rows) of every segment that two classes or more share.
+
+    Until it is known that a key is shared, a class goes by one of its fingerprints alone.
+    """
+    keys = drawn.select("f1", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low < high").select("key")
+    found = keys.join(shared, "key").distinct().join(classes.select("f1", "node", F.col("n_shingles").alias("n")), "f1").select("key", "node", "n")
+    found = cut_lineage(found)
+    return found.join(found.groupBy("key").agg(F.count("*").alias("rows")), "key")
 
 
 def with_pivots(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -260,15 +286,13 @@ def ngram_components(documents: DataFrame, join: Join = Join(), id: str = "doc_i
     """
     rows = columns(documents, doc_id=id, text=text)
     drawn = cut_lineage(sketches(rows, join))
-    classes = drawn.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("root"), F.first("keys").alias("keys"))
+    classes = drawn.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("root"))
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
-    members = cut_lineage(bucket_members(classes))
-    members, central = with_pivots(members)
+    members, central = with_pivots(bucket_members(drawn, classes))
     members = cut_lineage(members)
 
-    wanted = members.select("node").distinct().join(classes.select("node", "root", "n_shingles", "f1", "f2"), "node")
-    roots = wanted.select(F.col("root").alias("_root")).distinct()
-    found = exact_sets(rows.join(roots, rows["doc_id"].eqNullSafe(F.col("_root")), "left_semi"), join)
+    wanted = cut_lineage(members.select("node").distinct().join(classes, "node"))
+    found = exact_sets(rows, wanted, join)
     sets = found.join(wanted.select("node", "n_shingles", "f1", "f2"), ["n_shingles", "f1", "f2"])
     sets = cut_lineage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
 
