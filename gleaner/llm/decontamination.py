@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import cut_lineage
+
 from .common import chunks, columns
 
 EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -233,8 +235,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, search: Search = Sear
     df, n = document_frequencies(rows, items)
     idf = (np.log((n + 1) / (df + 1)) + 0.05) ** search.emphasis
     share = min(1.0, search.fit_documents / max(n, 1))
-    fitted = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else rows
-    vectors = latent_space(fitted, items, idf, search)
+    fitted = cut_lineage(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
+    vectors = latent_space(fitted.coalesce(8), items, idf, search)
     weighted = np.vstack([idf[:, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
     queries = np.stack([weighted[[items.terms[w] for w in ws]].sum(0) for ws in items.words])
     queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).astype(np.float32)
