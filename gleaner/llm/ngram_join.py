@@ -172,7 +172,7 @@ def exact_sets(rows: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     size of the input; where it fills up, more sets are built than needed, none is missed.
     """
     slot = F.pmod(F.xxhash64("root"), F.lit(join.bitmap))
-    words = wanted.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("at")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("slot", F.lit(32)).cast("int"))).alias("bits")).toPandas()
+    words = wanted.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(slot, 32) AS int))")).alias("bits")).toPandas()
     bitmap = np.zeros(join.bitmap // 32, np.uint32)
     bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
