@@ -38,10 +38,10 @@ class Search:
 
     window: int = 32
     stride: int = 16
-    rank: int = 128
+    rank: int = 96
     extra: int = 16
     emphasis: float = 2.0
-    fit_documents: int = 8_000
+    fit_documents: int = 6_000
     cosine: float = 0.4
     shared: float = 0.4
     overlap: float = 0.75
@@ -150,8 +150,11 @@ def document_frequencies(rows: DataFrame, items: Items) -> tuple[np.ndarray, int
         known, total, seen = TermNumbers(terms.value), np.zeros(size + 1, np.int64), 0
         for _, texts in chunks(batches):
             numbers = known.of(texts)
-            keys = np.concatenate(numbers) + np.repeat(np.arange(len(texts)), [len(x) for x in numbers]) * (size + 1)
-            total[:size] += np.bincount(np.unique(keys) % (size + 1), minlength=size + 1)[:size]
+            met = np.zeros(size + 1, bool)
+            for own in numbers:
+                met[:] = False
+                met[own] = True
+                total[:size] += met[:size]
             seen += len(texts)
         total[size] = seen
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["term", "n"])
