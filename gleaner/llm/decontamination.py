@@ -42,7 +42,7 @@ class Search:
     extra: int = 16
     emphasis: float = 2.0
     fit_documents: int = 6_000
-    cosine: float = 0.4
+    cosine: float = 0.36
     shared: float = 0.4
     overlap: float = 0.75
     partial: float = 0.6
