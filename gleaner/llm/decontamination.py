@@ -130,8 +130,11 @@ def passage_sums(rows: np.ndarray, counts: np.ndarray, weights: np.ndarray, sear
     instead of building a sparse row for each passage.
     """
     sums = np.zeros((len(rows), weights.shape[1]), np.float32)
-    for column in rows.T:
-        sums += weights[column]
+    held = np.empty((1_024, weights.shape[1]), np.float32)
+    for at in range(0, len(rows), len(held)):  # so few rows at once stay in the processor's cache
+        part = sums[at : at + len(held)]
+        for column in rows[at : at + len(held)].T:
+            part += np.take(weights, column, axis=0, out=held[: len(part)], mode="clip")
     first, owner = passages(counts, search)
     last = np.cumsum(counts)[owner] - 1
     out = sums[first].copy()
