@@ -99,6 +99,13 @@ def spell(words: list[bytes], s: Settings) -> Spelled:
     return Spelled(np.array([zlib.crc32(w) % s.buckets for w in words], np.int64), np.cumsum(counts) - counts, counts, flat[order])
 
 
+def spell_many(words: list[bytes], s: Settings, part: int = 16_384) -> Spelled:
+    """As ``spell``, a part at a time, so that the larger intermediate arrays stay small."""
+    parts = [spell(words[i : i + part], s) for i in range(0, len(words), part)]
+    counts = np.concatenate([p.counts for p in parts])
+    return Spelled(np.concatenate([p.word for p in parts]), np.cumsum(counts) - counts, counts, np.concatenate([p.grams.astype(np.int32) for p in parts]))
+
+
 def fresh(s: Settings) -> Network:
     rng = np.random.default_rng(s.seed)
     d, h = 2 * s.width, s.hidden
@@ -279,7 +286,7 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings(), toxic_
         return network
     vocabulary: dict[bytes, int] = {b"\x00": 0}  # stands where a window has no word
     numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split_words(t)], np.int64) for t in texts]
-    words = spell(list(vocabulary), s)
+    words = spell_many(list(vocabulary), s)
     start_rows(network, words, numbers, y)
     flat = np.concatenate([*numbers, np.zeros(1, np.int64)])
     index, valid, owner = window_index([len(x) for x in numbers], s)
@@ -290,7 +297,7 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings(), toxic_
     clean = np.flatnonzero(y == 0)
     step = 0
     while step < s.steps:
-        x = inputs(network.p, words)
+        x = np.concatenate([inputs(network.p, words.take(np.arange(i, min(i + 16_384, len(words.word))))) for i in range(0, len(words.word), 16_384)])
         if step == 0:  # the network knows nothing yet: the windows with the largest log odds
             logits = ((x[:, 0] + x[:, s.width])[flat[index]] * valid).max(1)
         else:
