@@ -18,7 +18,7 @@ from .common import chunks, columns
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.iinfo(np.int64).max
 #: Pieces that a task remembers before it starts afresh, and characters of a text that are cut into pieces at once.
-REMEMBERED, SPAN = 200_000, 1 << 20
+REMEMBERED, SPAN = 120_000, 1 << 20
 SCHEMA = "doc_id long, token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean"
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gleaner.session import cut_lineage
 
 #: Bytes of text that a Python step handles at once.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def fold(column: Column | str, n: int) -> Column:

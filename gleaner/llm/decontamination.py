@@ -94,7 +94,7 @@ class TermNumbers(dict):
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """Numbers of the words of each text."""
-        if len(self) > 300_000:
+        if len(self) > 200_000:
             self.clear()
         out = []
         for data in texts:

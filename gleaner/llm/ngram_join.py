@@ -146,9 +146,9 @@ def sketches(rows: DataFrame, join: Join) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, drawn = WordHash(), set()
         for part, texts in chunks(batches):
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
-            if len(drawn) > 300_000:
+            if len(drawn) > 100_000:
                 drawn.clear()
             sets = [shingle_set(t, known, join.words) for t in texts]
             prints = [fingerprints(s) for s in sets]
@@ -183,7 +183,7 @@ def exact_sets(rows: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
             slots = batch.column(0).to_numpy(zero_copy_only=False)
             hit = (sent.value[slots // 32] >> (slots % 32).astype(np.uint32)) & 1 == 1
             for _, texts in chunks(iter([batch.filter(pa.array(hit))]), size=1 << 20):
-                if len(known) > 300_000:
+                if len(known) > 150_000:
                     known.clear()
                 sets = [shingle_set(t, known, join.words) for t in texts]
                 prints = [fingerprints(s) for s in sets]

@@ -205,7 +205,7 @@ def window_index(lengths: list[int], s: Settings) -> tuple[np.ndarray, np.ndarra
 class Scorer:
     """Scores texts; remembers the gate inputs of words met before."""
 
-    def __init__(self, network: Network, remembered: int = 150_000, windows: int = 2_048):
+    def __init__(self, network: Network, remembered: int = 80_000, windows: int = 1_024):
         self.network, self.remembered, self.windows = network, remembered, windows
         self.forget()
 
