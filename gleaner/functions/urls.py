@@ -101,7 +101,8 @@ def host_suffixes(host: Column) -> Column:
 
 def _remove_dot_segments(path: Column) -> Column:
     """Resolve ``.`` and ``..`` segments of an absolute path."""
-    segments = F.slice(F.split(path, "/"), 2, 1_000_000)
+    parts = F.split(path, "/")
+    segments = F.slice(parts, F.lit(2), F.size(parts))
     resolved = F.aggregate(
         segments,
         F.array().cast("array<string>"),
@@ -190,7 +191,7 @@ def absolute_srcset(raw: Column, base: Column) -> Column:
         lambda words: let(
             absolute_url(words[0], base),
             lambda url: F.when(
-                url.isNotNull(), F.array_join(F.concat(F.array(url), F.slice(words, 2, 1_000)), " ")
+                url.isNotNull(), F.array_join(F.concat(F.array(url), F.slice(words, F.lit(2), F.size(words))), " ")
             ),
         ),
     )

@@ -124,8 +124,8 @@ def matches_compound(selector: Column) -> Column:
     classes = F.split(attr("class"), r"\s+")
     marks_ok = F.forall(
         marks,
-        lambda m: F.when(F.startswith(m, F.lit("#")), attr("id") == F.substring(m, 2, 1000)).otherwise(
-            F.array_contains(classes, F.substring(m, 2, 1000))
+        lambda m: F.when(F.startswith(m, F.lit("#")), attr("id") == F.substr(m, F.lit(2))).otherwise(
+            F.array_contains(classes, F.substr(m, F.lit(2)))
         ),
     )
     given = F.try_element_at("attrs", name)

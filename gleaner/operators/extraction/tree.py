@@ -223,22 +223,25 @@ def html_tokens(pages: DataFrame) -> DataFrame:
         "nodes", F.pandas_udf(_link, _TREE_DDL)("names")
     )
     # The outer form keeps the optimizer from running the UDF twice for a size filter.
-    rows = named.select("page_id", "tokens", "names", F.posexplode_outer("nodes").alias("pos", "node")).filter(
-        F.col("node").isNotNull()
+    # Each node takes its own token along before the rows multiply, so that no row holds the page.
+    owned = F.transform(
+        "nodes",
+        lambda n: F.struct(n.alias("at"), F.get("names", n["src"]).alias("name"), F.get("tokens", n["src"]).alias("raw")),
     )
+    rows = named.select("page_id", F.posexplode_outer(owned).alias("pos", "node")).filter(F.col("node").isNotNull())
     flat = rows.select(
         "page_id",
         "pos",
-        F.col("node.parent").alias("parent"),
-        F.col("node.last").alias("last"),
-        F.col("node.depth").alias("depth"),
-        F.col("node.ctx").alias("ctx"),
-        F.col("node.near").alias("near"),
-        F.col("node.ptag").alias("ptag"),
-        F.col("node.cells").alias("cells"),
-        F.col("node.table_pos").alias("table_pos"),
-        F.get("names", F.col("node.src")).alias("name"),
-        F.get("tokens", F.col("node.src")).alias("raw"),
+        F.col("node.at.parent").alias("parent"),
+        F.col("node.at.last").alias("last"),
+        F.col("node.at.depth").alias("depth"),
+        F.col("node.at.ctx").alias("ctx"),
+        F.col("node.at.near").alias("near"),
+        F.col("node.at.ptag").alias("ptag"),
+        F.col("node.at.cells").alias("cells"),
+        F.col("node.at.table_pos").alias("table_pos"),
+        F.col("node.name").alias("name"),
+        F.col("node.raw").alias("raw"),
     )
     is_text = F.col("name").isin("#", "~")
     return flat.select(

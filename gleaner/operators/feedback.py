@@ -113,10 +113,10 @@ def calibration_stats(feedback: DataFrame, analyses: DataFrame, profile: DataFra
     ).withColumn("completed_analyses", completed.scalar())
     if profile is None:
         return stats
-    one = profile.limit(1)
-    return stats.withColumn("evaluation_mode", one.select("evaluation_mode").scalar()).withColumn(
+    # One reader's row: Spark refuses a second one instead of taking either.
+    return stats.withColumn("evaluation_mode", profile.select("evaluation_mode").scalar()).withColumn(
         "questionnaire_completed",
-        one.select(F.col("questionnaire_completed_at").isNotNull()).scalar(),
+        profile.select(F.col("questionnaire_completed_at").isNotNull()).scalar(),
     )
 
 

@@ -27,10 +27,12 @@ def local_session(name: str, cores: int | str = "*") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set."""
-    folder = spark.conf.get(CHECKPOINT_SETTING, None)
+    """Shared folder named by the cluster. Only a session on one machine gets a temporary one where none is set."""
+    folder = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="gleaner-checkpoint-")
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINT_SETTING} must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="gleaner-checkpoint-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

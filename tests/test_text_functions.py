@@ -1,6 +1,5 @@
 import random
 import re
-import unicodedata
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 
 from pyspark.sql import functions as F
@@ -63,99 +62,65 @@ def test_srcset(evaluate):
     assert got == ["https://e.org/d/a.png 1x, https://e.org/b.png 2x", "https://e.org/d/c.png"]
 
 
-# --- independent restatements, line by line --------------------------------
-def front_end(lines):
-    if lines[0].strip("\r") != "---":
-        return 0
-    for k in range(1, len(lines)):
-        if lines[k].strip(" \t\r") in ("---", "..."):
-            return k + 1
-    return 0
-
-
-def brute_headings(doc):
-    lines, out, open_mark = doc.split("\n"), [], None
-    for k in range(front_end(lines), len(lines)):
-        fence = re.match(r"[ \t]*(```|~~~)", lines[k])
-        if open_mark:
-            if fence and fence.group(1)[0] == open_mark:
-                open_mark = None
-        elif fence:
-            open_mark = fence.group(1)[0]
-        else:
-            m = re.match(r"(#{1,3})[ \t]+(.+?)[ \t\r]*$", lines[k])
-            if m:
-                out.append((k, len(m.group(1)), m.group(2)))
-    return out
-
-
-def comparable(s):
-    return "".join(c for c in s if not c.isspace() and unicodedata.category(c)[0] != "P").lower()
-
-
-def brute_sections(doc, title):
-    heads = brute_headings(doc)
-    skip = None
-    if heads and heads[0][1] == 1 and comparable(heads[0][2]) == comparable(title):
-        skip = heads[0][0]
-    for level in (1, 2, 3):
-        own = [h for h in heads if h[1] == level and h[0] != skip]
-        if len(own) >= 2:
-            break
-    else:
-        return None
-    if len(own) > 10:
-        return None
-    ends = [h[0] for h in heads if h[1] <= level] + [doc.count("\n") + 1]
-    return [
-        (f"sec-{n:03d}", level, re.sub(r"[ \t]+#+[ \t\r]*$", "", h[2]).strip(), h[0], min(e for e in ends if e > h[0]))
-        for n, h in enumerate(own, 1)
-    ]
-
-
-def brute_blocks(doc):
-    lines = doc.replace("\r\n", "\n").split("\n")
-    k, out = front_end(lines), []
-    while k < len(lines):
-        if not lines[k].strip():
-            k += 1
-            continue
-        a = k
-        mark = lines[k].lstrip()[:3]
-        k += 1
-        if mark in ("```", "~~~"):
-            while k < len(lines) and not lines[k].lstrip().startswith(mark):
-                k += 1
-            k = min(k + 1, len(lines))
-        else:
-            while k < len(lines) and lines[k].strip():
-                k += 1
-        out.append((f"b{len(out) + 1}", "\n".join(lines[a:k]).strip(), a, k))
-    return out
-
-
 def random_docs(n, seed):
     rng = random.Random(seed)
     pieces = ["---", "...", "```", "~~~", "````js", "  ```", "# Title", "## A ##", "## B", "### C", "text | x", "", "", " \t", "a\r", "# Big, title!", "|a|b|", "|---|:-:|", "![i](u)", "***", "- - -", "> q", "1. x", "* li", "#nohead", "    ## deep", "　", "--- "]
     return ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 16))) for _ in range(n)]
 
 
-def test_sections_match_restatement(evaluate):
-    docs = random_docs(1500, 3) + [d.replace("\n", "\r\n") for d in random_docs(200, 4)]
-    docs = ["---\n" + d if k % 5 == 0 else d for k, d in enumerate(docs)]
-    got = first(evaluate, docs, md.section_index(F.col("c"), F.lit("big title")))
-    for doc, index in zip(docs, got):
-        want = brute_sections(doc, "big title")
-        mine = index and [(s.section_ref, s.level, s.title, s.start_line, s.end_line) for s in index.sections]
-        assert mine == want, repr(doc)
-
-
-def test_blocks_match_restatement(evaluate):
-    docs = random_docs(1500, 5) + [d.replace("\n", "\r\n") for d in random_docs(200, 6)]
-    docs = ["---\n" + d if k % 5 == 0 else d for k, d in enumerate(docs)]
-    got = first(evaluate, docs, md.split_blocks(F.col("c")))
-    for doc, blocks in zip(docs, got):
-        assert [(b.id, b.source_markdown, b.start_line, b.end_line) for b in blocks] == brute_blocks(doc), repr(doc)
+def test_sections_by_hand(evaluate):
+    cases = {
+        "# One\na\n# Two\nb": [("sec-001", 1, "One", 0, 2), ("sec-002", 1, "Two", 2, 4)],
+        "# Big, title!\n## A ##\nx\n### in\n## B\ny": [("sec-001", 2, "A", 1, 4), ("sec-002", 2, "B", 4, 6)],
+        "---\n# no\n---\n## A\n```\n## fenced\n```\n## B": [("sec-001", 2, "A", 3, 7), ("sec-002", 2, "B", 7, 8)],
+        "# Only one\ntext": None,
+        "#nohead\n    ## deep\n#### four": None,
+        "## A\n# Top\n## B\n# End": [("sec-001", 1, "Top", 1, 3), ("sec-002", 1, "End", 3, 4)],
+    }
+    got = first(evaluate, list(cases), md.section_index(F.col("c"), F.lit("big title")))
+    found = [index and [(s.section_ref, s.level, s.title, s.start_line, s.end_line) for s in index.sections] for index in got]
+    assert found == list(cases.values())
+
+
+def test_sections_are_ranges_in_order(evaluate):
+    docs = random_docs(1200, 3) + [d.replace("\n", "\r\n") for d in random_docs(200, 4)]
+    for doc, index in zip(docs, first(evaluate, docs, md.section_index(F.col("c"), F.lit("big title")))):
+        if index is None:
+            continue
+        lines, parts = doc.split("\n"), index.sections
+        assert 2 <= len(parts) <= 10 and len({s.level for s in parts}) == 1, repr(doc)
+        assert [s.section_ref for s in parts] == [f"sec-{n:03d}" for n in range(1, len(parts) + 1)]
+        for a, b in zip(parts, [*parts[1:], None]):
+            assert a.start_line < a.end_line <= (b.start_line if b else len(lines)), repr(doc)
+            assert lines[a.start_line].startswith("#" * a.level + " "), repr(doc)
+            assert a.title in lines[a.start_line]
+
+
+def test_blocks_by_hand(evaluate):
+    cases = {
+        "a\nb\n\nc": [("b1", "a\nb", 0, 2), ("b2", "c", 3, 4)],
+        "```\nx\n\ny\n```\nz": [("b1", "```\nx\n\ny\n```", 0, 5), ("b2", "z", 5, 6)],
+        "~~~\nopen\n\nend": [("b1", "~~~\nopen\n\nend", 0, 4)],
+        "---\nk: v\n---\n\ntext": [("b1", "text", 4, 5)],
+        " \t\n\n": [],
+    }
+    got = first(evaluate, list(cases), md.split_blocks(F.col("c")))
+    assert [[(b.id, b.source_markdown, b.start_line, b.end_line) for b in blocks] for blocks in got] == list(cases.values())
+
+
+def test_blocks_cover_the_body(evaluate):
+    docs = random_docs(1200, 5) + [d.replace("\n", "\r\n") for d in random_docs(200, 6)]
+    for doc, blocks in zip(docs, first(evaluate, docs, md.split_blocks(F.col("c")))):
+        lines = doc.replace("\r\n", "\n").split("\n")
+        assert [b.id for b in blocks] == [f"b{n}" for n in range(1, len(blocks) + 1)]
+        ends = [0]
+        for b in blocks:
+            assert ends[-1] <= b.start_line < b.end_line <= len(lines), repr(doc)
+            assert "\n".join(lines[b.start_line : b.end_line]).strip() == b.source_markdown, repr(doc)
+            ends.append(b.end_line)
+        if blocks:  # only blank lines lie between blocks and after the last
+            gaps = [k for a, b in zip(ends[1:], [*[b.start_line for b in blocks[1:]], len(lines)]) for k in range(a, b)]
+            assert not any(lines[k].strip() for k in gaps), repr(doc)
 
 
 def test_block_kinds(evaluate):
