@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,9 @@ from gleaner.session import cut_lineage
 
 from .common import chunks, columns
 
-EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes as words see them: A-Z in lower case, ASCII punctuation as white space.
+SEEN = bytes(32 if b in PUNCTUATION else b + 32 if 65 <= b <= 90 else b for b in range(256))
 MATCHES = "doc_id long, item_id long, cosine double, lcs int, item_words int, answer_ratio double, first_word long"
 
 
@@ -50,8 +53,8 @@ class Search:
 
 
 def normal_words(data: bytes) -> list[bytes]:
-    """Words in lower case (A-Z) without punctuation at their edges; those of punctuation only go."""
-    return [w for w in (x.strip(EDGES) for x in data.lower().split()) if w]
+    """Words in lower case (A-Z), parted by white space and ASCII punctuation."""
+    return data.translate(SEEN).split()
 
 
 @dataclass
@@ -80,28 +83,15 @@ def read_items(benchmark: DataFrame, id: str, text: str) -> Items:
     return Items([i for i, _ in found.values()], [list(w) for w in found], [a for _, a in found.values()], terms)
 
 
-class TermNumbers(dict):
-    """Number of each raw word met: its term, ``len(terms)`` for any other word, -1 for punctuation only."""
+class TermNumbers:
+    """Number of each word: its term, or ``len(terms)`` for any other word."""
 
     def __init__(self, terms: dict[bytes, int]):
-        super().__init__()
-        self.terms = terms
-
-    def __missing__(self, raw: bytes) -> int:
-        word = raw.strip(EDGES)
-        self[raw] = number = self.terms.get(word, len(self.terms)) if word else -1
-        return number
+        self.get, self.other = terms.get, len(terms)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """Numbers of the words of each text."""
-        if len(self) > 200_000:
-            self.clear()
-        out = []
-        for data in texts:
-            words = data.lower().split()
-            numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            out.append(numbers[numbers >= 0])
-        return out
+        return [np.fromiter(map(self.get, words, repeat(self.other)), np.int64, len(words)) for words in map(normal_words, texts)]
 
 
 def blocks(numbers: list[np.ndarray], other: int, stride: int) -> tuple[np.ndarray, np.ndarray]:
