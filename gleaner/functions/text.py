@@ -114,13 +114,27 @@ def token_similarity(a: Column, b: Column) -> Column:
     def words(text: Column) -> Column:
         return F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
 
+    def marked(of: Column, of_b: bool) -> Column:
+        return F.transform(of, lambda w: F.struct(w.alias("word"), F.lit(of_b).alias("of_b")))
+
+    def add(state: Column, x: Column) -> Column:
+        shared = x["of_b"] & (state["word"] == x["word"])
+        return F.struct(
+            F.when(x["of_b"], state["word"]).otherwise(x["word"]).alias("word"),
+            (state["length"] + F.when(x["of_b"] & ~shared, F.length(x["word"]) + 1).otherwise(0)).alias("length"),
+        )
+
+    def unshared(p: Column) -> Column:
+        # Sorted together, a word of b stands behind the same word of a: no search per word.
+        both = F.concat(marked(p["a"], False), marked(p["b"], True))
+        start = F.struct(F.lit("").alias("word"), F.lit(0).alias("length"))
+        return F.greatest(F.aggregate(F.sort_array(both), start, add)["length"] - 1, F.lit(0))
+
     pair = F.struct(words(a).alias("a"), words(b).alias("b"))
     return let(
         pair,
         lambda p: F.when((F.size(p["a"]) == 0) | (F.size(p["b"]) == 0), F.lit(0.0)).otherwise(
-            F.lit(1.0)
-            - F.length(F.array_join(F.filter(p["b"], lambda w: ~F.array_contains(p["a"], w)), " "))
-            / F.length(F.array_join(p["b"], " "))
+            F.lit(1.0) - unshared(p) / F.length(F.array_join(p["b"], " "))
         ),
     )
 

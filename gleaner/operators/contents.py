@@ -100,14 +100,18 @@ def resolve_captures(captures: DataFrame, contents: DataFrame) -> DataFrame:
     Replays of a capture id, then captures of one page, collapse by aggregates
     with map-side combination, so a page captured very often stays cheap.  The
     last capture supplies the text, the first acceptable one the identity.
+    Captures of one moment are ordered by their column ``arrival``, if there is
+    one, and by a hash of what they say, so that the result never depends on the run.
     """
-    position = F.struct("captured_at", "capture_id")
     accepted = F.col("capture_quality") != "failed"
     keyed = captures.withColumn("canonical_url", identity_url())
+    arrival = F.col("arrival") if "arrival" in captures.columns else F.lit("")
+    keyed = keyed.withColumn("arrival", F.struct(arrival.alias("order"), F.xxhash64(*_LATEST).alias("tie")))
+    position = F.struct("captured_at", "arrival")
     per_id = keyed.groupBy("capture_id").agg(
-        F.max_by(F.struct(*_LATEST, "captured_at"), F.col("captured_at")).alias("last"),
+        F.max_by(F.struct(*_LATEST, "captured_at", "arrival"), position).alias("last"),
         F.min_by(
-            F.when(accepted, F.struct("capture_id", "capture_mode", "captured_at")),
+            F.when(accepted, F.struct("capture_id", "capture_mode", "captured_at", "arrival")),
             F.when(accepted, position),
         ).alias("first"),
     )
@@ -117,12 +121,12 @@ def resolve_captures(captures: DataFrame, contents: DataFrame) -> DataFrame:
     )
     matched = match_existing(flat, contents)
     content_id = F.coalesce("matched_content_id", new_content_id(F.col("source_type"), F.col("canonical_url")))
-    first_at = F.struct(F.col("first.captured_at"), F.col("first.capture_id"))
+    first_at = F.struct(F.col("first.captured_at"), F.col("first.arrival.order"), F.col("first.capture_id"))
     return (
         matched.withColumn("content_id", content_id)
         .groupBy("content_id")
         .agg(
-            F.max_by("latest", F.struct(F.col("latest.captured_at"), F.col("capture_id"))).alias("latest"),
+            F.max_by("latest", F.struct(F.col("latest.captured_at"), F.col("latest.arrival.order"), F.col("capture_id"))).alias("latest"),
             F.min_by("first", F.when(F.col("first").isNotNull(), first_at)).alias("first"),
             F.bool_or(F.col("matched_content_id").isNotNull()).alias("exists"),
         )

@@ -17,28 +17,39 @@ TABLES = ["pages", "documents", "conversations", "labels", "events", "customer",
 
 VIEWS: dict[str, str | tuple[str, str]] = {}
 
-# One row per page; the body comes from the document with the same id.
+# One row per document; title and address come from the page with the same id, if there is one.
 VIEWS["v_contents"] = """
-SELECT 'c' || p.page_id AS content_id, 'cap-' || lpad(CAST(p.page_id AS STRING), 8, '0') AS capture_id,
-       'web' AS source_type, p.url AS source_url,
-       CASE WHEN p.page_id % 4 = 0 THEN 'automatic' ELSE 'manual' END AS capture_mode,
-       regexp_extract(p.html, '<title>([^<]*)</title>', 1) AS title,
-       CASE p.page_id % 7 WHEN 0 THEN 'poor' WHEN 1 THEN 'warning' ELSE 'good' END AS capture_quality,
-       '# ' || regexp_extract(p.html, '<title>([^<]*)</title>', 1) || chr(10) || chr(10) || replace(d.text, chr(10), chr(10) || chr(10)) AS markdown,
-       TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '37' MINUTE * p.page_id AS created_at
-FROM pages p JOIN documents d ON d.doc_id = p.page_id
+SELECT 'c' || n AS content_id, 'cap-' || lpad(CAST(n AS STRING), 8, '0') AS capture_id,
+       'web' AS source_type, url AS source_url,
+       CASE WHEN n % 4 = 0 THEN 'automatic' ELSE 'manual' END AS capture_mode, title,
+       CASE n % 7 WHEN 0 THEN 'poor' WHEN 1 THEN 'warning' ELSE 'good' END AS capture_quality,
+       '# ' || title || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) AS markdown,
+       TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '37' MINUTE * n AS created_at
+FROM (SELECT d.doc_id AS n, d.text, coalesce(p.url, 'https://docs.example.org/d/' || d.doc_id) AS url,
+             coalesce(regexp_extract(p.html, '<title>([^<]*)</title>', 1), 'Document ' || d.doc_id) AS title
+      FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id) c
 """
 
-# One or two per content; the newest wins.
+# One or two analyses per content, up to three windows per owner.
+VIEWS["v_attempts"] = (
+    "SELECT doc_id AS n, explode(sequence(1, 1 + doc_id % 2)) AS k FROM documents",
+    "SELECT doc_id AS n, unnest(generate_series(1, 1 + doc_id % 2)) AS k FROM documents",
+)
+VIEWS["v_owner_slots"] = (
+    "SELECT c_custkey, explode(sequence(0, CAST(c_custkey % 3 AS INT))) AS k FROM customer",
+    "SELECT c_custkey, CAST(unnest(generate_series(0, c_custkey % 3)) AS INT) AS k FROM customer",
+)
+
+# The newest analysis of a content wins.
 VIEWS["v_analyses"] = """
-SELECT 'a' || c.n || '-' || k.k AS analysis_id, 'c' || c.n AS content_id,
+SELECT 'a' || c.n || '-' || c.k AS analysis_id, 'c' || c.n AS content_id,
        CASE c.n % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 4 THEN 'failed' ELSE 'completed' END AS status,
        CASE WHEN c.n % 5 IN (2, 3) AND c.n % 10 <> 3 THEN
-            CASE (c.n * 7 + k.k) % 4 WHEN 0 THEN 'ignore' WHEN 1 THEN 'summary_enough' WHEN 2 THEN 'selective_read' ELSE 'deep_read' END END AS evaluation_recommendation,
+            CASE (c.n * 7 + c.k) % 4 WHEN 0 THEN 'ignore' WHEN 1 THEN 'summary_enough' WHEN 2 THEN 'selective_read' ELSE 'deep_read' END END AS evaluation_recommendation,
        CASE WHEN c.n % 10 = 3 THEN 'ignore' WHEN c.n % 5 <> 0 THEN 'continue' END AS triage_decision,
        CASE WHEN c.n % 6 = 0 THEN 'outside_profile_high_value' WHEN c.n % 6 < 3 THEN 'adjacent' ELSE 'profile_match' END AS discovery_type,
-       TIMESTAMP '2024-01-01 00:05:00' + INTERVAL '37' MINUTE * c.n + INTERVAL '10' MINUTE * k.k AS created_at
-FROM (SELECT page_id AS n FROM pages) c JOIN (SELECT 1 AS k UNION ALL SELECT 2 AS k) k ON k.k <= 1 + c.n % 2
+       TIMESTAMP '2024-01-01 00:05:00' + INTERVAL '37' MINUTE * c.n + INTERVAL '10' MINUTE * c.k AS created_at
+FROM v_attempts c
 """
 
 VIEWS["v_jobs"] = """
@@ -50,16 +61,16 @@ SELECT 'j' || analysis_id AS job_id, analysis_id,
 FROM v_analyses
 """
 
-# Append-only edits, several per analysis.
+# Append-only edits, ten per analysis.
 VIEWS["v_feedback_events"] = """
-SELECT event_id, 'a' || (event_id % 400) || '-1' AS analysis_id, ts,
-       CASE (event_id % 400) % 5 WHEN 0 THEN 'ignore' WHEN 1 THEN 'summary_enough' WHEN 2 THEN 'selective_read' WHEN 3 THEN 'deep_read' ELSE 'selective_read' END AS ai_recommendation,
+SELECT event_id, 'a' || k || '-1' AS analysis_id, ts,
+       CASE k % 5 WHEN 0 THEN 'ignore' WHEN 1 THEN 'summary_enough' WHEN 2 THEN 'selective_read' WHEN 3 THEN 'deep_read' ELSE 'selective_read' END AS ai_recommendation,
        CASE event_type WHEN 'view' THEN 'ignore' WHEN 'click' THEN 'summary_enough' WHEN 'signup' THEN 'selective_read' WHEN 'purchase' THEN 'deep_read' END AS preferred_recommendation,
        CASE event_id % 3 WHEN 0 THEN 'no' WHEN 1 THEN 'partly' ELSE 'yes' END AS time_worthwhile,
        CASE event_id % 4 WHEN 0 THEN 'accurate' WHEN 1 THEN 'omission' WHEN 2 THEN 'misleading' ELSE 'not_sure' END AS summary_quality,
        CASE WHEN event_id % 2 = 0 THEN 'model-a' ELSE 'model-b' END AS model,
        'v' || (event_id % 3) AS prompt_version
-FROM events
+FROM (SELECT *, CAST(floor(event_id / 10) AS BIGINT) AS k FROM events) e
 """
 
 # Pages captured again with tracking noise and newer text, plus new transcripts.
@@ -95,7 +106,7 @@ VIEWS["v_articles"] = (
 
 # Documents given Markdown structure: the line number decides the block form.
 _FORM = """CASE {i} % 9
-    WHEN 0 THEN '## ' || substr(l, 1, 40)
+    WHEN 0 THEN '## ' || l
     WHEN 1 THEN l
     WHEN 2 THEN '- ' || l || chr(10) || '- item'
     WHEN 3 THEN '> ' || l
@@ -123,7 +134,7 @@ VIEWS["v_owner_windows"] = f"""
 SELECT c_custkey AS owner_id, w.k AS window_no,
        {_clock('c_custkey * 7 + w.k * 480')} AS start_at,
        {_clock('c_custkey * 7 + w.k * 480 + c_custkey % 11 * 60')} AS end_at
-FROM customer JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) w ON w.k <= c_custkey % 3
+FROM v_owner_slots w
 """
 
 # Reader profiles: every second one finished the questionnaire.
@@ -170,7 +181,7 @@ SELECT url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(r
               AND lower(split_part(p.part, '=', 1)) NOT LIKE 'utm#_%' ESCAPE '#'), '') AS norm
 FROM {source}
 """
-ORACLE_VIEWS["o_page_urls"] = _URL.replace("{source}", "(SELECT DISTINCT url FROM pages)")
+ORACLE_VIEWS["o_page_urls"] = _URL.replace("{source}", "(SELECT url FROM pages UNION SELECT source_url FROM v_contents)")
 ORACLE_VIEWS["o_capture_urls"] = _URL.replace("{source}", "(SELECT DISTINCT url FROM v_captures)")
 
 # Lines, headings and sections of the articles (no fences, no front matter).

@@ -49,13 +49,13 @@ def stage_inputs(t: Inputs) -> DataFrame:
     """Contents with section index and reader profile."""
     index = md.section_index(F.col("markdown"), F.col("title"))
     rows = t.v_contents.withColumn("section_index", index).withColumn(
-        "user_id", F.concat(F.lit("u"), (F.substring("content_id", 2, 20).cast("bigint") % 150 + 1).cast("string"))
+        "user_id", F.concat(F.lit("u"), F.expr("substring(content_id, 2)"))
     )
     return ct.attach_profile(rows, profiles(t))
 
 
 _FOCUS = """(SELECT c.*, p.focus, p.goal, p.preferred_depth, p.time_budget_minutes, p.exploration_level, p.topic, p.topic_level, p.user_id AS uid FROM v_contents c
-    LEFT JOIN (SELECT * FROM v_profiles WHERE questionnaire_completed_at IS NOT NULL) p ON p.user_id = 'u' || (CAST(substr(c.content_id, 2) AS BIGINT) % 150 + 1))"""
+    LEFT JOIN (SELECT * FROM v_profiles WHERE questionnaire_completed_at IS NOT NULL) p ON p.user_id = 'u' || substr(c.content_id, 2))"""
 
 
 @query(
@@ -98,12 +98,29 @@ def triage_payloads(t: Inputs) -> DataFrame:
     return st.triage_requests(rows).select("id", "payload")
 
 
-@query("run_stage")
+# The stand-in answers from the length of the payload and of the text alone.
+_CALLS = """(SELECT doc_id AS id, length(text) AS chars, length('{"content":{"title":"x","source_url":"x","source_type":"x","capture_mode":"x","capture_quality":"x","markdown":' || to_json(text)
+    || ',"section_index":null},"focus_topics":[]}') AS size FROM documents)"""
+_ANSWER = """'{"relevance": "' || CASE WHEN chars > 500 THEN 'high' ELSE 'low' END || '", "intrinsic_signal": "low", "novelty_signal": "unknown", "exploration_value": "low", "discovery_type": "adjacent", "decision": "'
+    || CASE WHEN size % 5 = 0 THEN 'ignore' ELSE 'continue' END || '", "reason": "' || CASE WHEN size % 11 > 0 THEN chars || ' characters' ELSE '' END || '", "why_outside_profile": null}'"""
+
+
+@query(
+    "run_stage",
+    f"""SELECT id, CASE WHEN size % 13 = 0 THEN NULL WHEN size % 7 = 0 THEN '{{"relevance": "high"' ELSE {_ANSWER} END AS raw,
+               CASE WHEN size % 13 = 0 THEN NULL WHEN size % 7 = 0 THEN 'length' ELSE 'stop' END AS finish_reason,
+               CASE WHEN size % 13 = 0 THEN 'TimeoutError: no answer' END AS error FROM {_CALLS}""",
+)
 def _(t):
     return st.run_stage(triage_payloads(t), EchoProvider(), "triage")
 
 
-@query("provider")
+@query(
+    "provider",
+    f"""SELECT id, CASE WHEN size % 13 > 0 THEN {_ANSWER} END AS raw, CASE WHEN size % 13 > 0 THEN 'stop' END AS finish_reason, CASE WHEN size % 13 = 0 THEN 'TimeoutError: no answer' END AS error,
+               CASE WHEN size % 13 = 0 THEN 'json' WHEN size % 11 = 0 THEN 'reason' ELSE '' END AS violations,
+               CASE WHEN size % 13 = 0 THEN 'call' WHEN size % 11 = 0 THEN 'contract' END AS problem FROM {_CALLS}""",
+)
 def _(t):
     rows = st.complete_stage(triage_payloads(t), EchoProvider(), "triage", retry_prompt="short")
     return rows.select("id", "raw", "finish_reason", "error", F.array_join("violations", ",").alias("violations"), "problem")
@@ -116,7 +133,7 @@ def _text(name, broken, at):
 
 def triage_answers(t: Inputs) -> DataFrame:
     n = F.col("doc_id")
-    reason = F.substring(F.concat(F.lit("r "), "text"), 1, 400)
+    reason = F.concat(F.lit("r "), "text")
     base = F.struct(
         F.when(n % 29 == 1, "huge").otherwise("high").alias("relevance"),
         F.when(n % 2 == 0, "low").otherwise("medium").alias("intrinsic_signal"),
@@ -140,13 +157,14 @@ def triage_answers(t: Inputs) -> DataFrame:
     return t.documents.select("doc_id", raw.alias("raw"))
 
 
-_TRIAGE_RULES = """CASE WHEN r IN (5, 6) THEN 'json' ELSE concat_ws(',', CASE r WHEN 1 THEN 'relevance' WHEN 8 THEN 'decision' WHEN 2 THEN 'reason' WHEN 3 THEN 'reason' WHEN 7 THEN 'why_outside_profile' END,
+_TRIAGE_RULES = """CASE WHEN r IN (5, 6) THEN 'json' ELSE concat_ws(',', CASE r WHEN 1 THEN 'relevance' WHEN 8 THEN 'decision' END,
+       CASE WHEN r IN (2, 3) OR length(text) > 398 THEN 'reason' END, CASE r WHEN 7 THEN 'why_outside_profile' END,
        CASE r WHEN 4 THEN 'extra:note' WHEN 7 THEN 'extra:dropped' WHEN 8 THEN 'extra:x' END,
        CASE WHEN doc_id % 5 = 0 AND doc_id % 2 = 1 AND r <> 8 THEN 'rule:ignore' END,
        CASE WHEN doc_id % 3 = 0 AND (doc_id % 4 <> 0 OR r = 7) THEN 'rule:outside_profile' END) END"""
 
 
-@query("parse_triage", f"SELECT doc_id, {_TRIAGE_RULES} AS violations FROM (SELECT doc_id, doc_id % 29 AS r FROM documents)")
+@query("parse_triage", f"SELECT doc_id, {_TRIAGE_RULES} AS violations FROM (SELECT doc_id, text, doc_id % 29 AS r FROM documents)")
 def _(t):
     return cn.parse_triage(triage_answers(t)).select("doc_id", F.array_join("violations", ",").alias("violations"))
 
@@ -161,7 +179,7 @@ def analyze_answers(t: Inputs) -> DataFrame:
 
     body = F.struct(
         F.when(r == 1, F.repeat(F.lit("s"), 241)).otherwise(F.lit("one line")).alias("one_sentence_summary"),
-        F.substring(F.concat(F.lit("s "), "text"), 1, 1600).alias("summary"),
+        F.concat(F.lit("s "), "text").alias("summary"),
         F.struct(
             F.when(r == 2, F.array_repeat(F.lit("t"), 9)).otherwise(F.array("lang")).alias("topics"),
             F.lit("essay").alias("content_type"),
@@ -200,8 +218,8 @@ def analyze_answers(t: Inputs) -> DataFrame:
 
 @query(
     "parse_analyze",
-    """SELECT doc_id, coalesce((['one_sentence_summary', 'content_profile', 'content_profile', 'content_map', 'key_points', 'key_points', 'claims', 'claims', 'thesis', 'supporting_evidence', 'supporting_evidence',
-        'counterarguments', 'counterarguments', 'limitations', 'limitations', 'unresolved_questions', 'unresolved_questions', 'unverified_claims', 'unverified_claims', 'claims', 'key_points', 'key_points'])[CAST(doc_id % 29 AS INT)], '') AS violations FROM documents""",
+    """SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 29 = 1 THEN 'one_sentence_summary' END, CASE WHEN length(text) > 1598 THEN 'summary' END, ([NULL, 'content_profile', 'content_profile', 'content_map', 'key_points', 'key_points', 'claims', 'claims', 'thesis', 'supporting_evidence', 'supporting_evidence',
+        'counterarguments', 'counterarguments', 'limitations', 'limitations', 'unresolved_questions', 'unresolved_questions', 'unverified_claims', 'unverified_claims', 'claims', 'key_points', 'key_points'])[CAST(doc_id % 29 AS INT)]) AS violations FROM documents""",
 )
 def _(t):
     return cn.parse_analyze(analyze_answers(t)).select("doc_id", F.array_join("violations", ",").alias("violations"))
@@ -223,7 +241,7 @@ def evaluate_answers(t: Inputs) -> DataFrame:
         F.lit("low").alias("perspective_diversity"),
         F.when(n % 7 == 0, "outside_profile_high_value").otherwise("adjacent").alias("discovery_type"),
         F.element_at(F.array(*[F.lit(x) for x in ("ignore", "summary_enough", "selective_read", "deep_read")]), (n % 4 + 1).cast("int")).alias("recommendation"),
-        F.substring(F.concat(F.lit("s "), "text"), 1, 1600).alias("recommendation_reason"),
+        F.concat(F.lit("s "), "text").alias("recommendation_reason"),
         F.when(n % 2 == 1, "different").alias("why_outside_profile"),
         F.when(r == 4, F.array_repeat(item, 11)).otherwise(F.array(item)).alias("reading_plan"),
     )
@@ -236,9 +254,10 @@ def evaluate_answers(t: Inputs) -> DataFrame:
 
 @query(
     "parse_evaluate",
-    """SELECT doc_id, CASE WHEN r = 6 THEN 'json' ELSE concat_ws(',', CASE r WHEN 1 THEN 'reading_plan' WHEN 2 THEN 'knowledge_overlap' WHEN 3 THEN 'novel_information' WHEN 4 THEN 'reading_plan' WHEN 5 THEN 'known_or_redundant' END,
+    """SELECT doc_id, CASE WHEN r = 6 THEN 'json' ELSE concat_ws(',', CASE r WHEN 2 THEN 'knowledge_overlap' WHEN 3 THEN 'novel_information' WHEN 5 THEN 'known_or_redundant' END,
+              CASE WHEN length(text) > 1598 THEN 'recommendation_reason' END, CASE WHEN r IN (1, 4) THEN 'reading_plan' END,
               CASE WHEN doc_id % 3 = 0 AND doc_id % 4 = 0 THEN 'rule:exploration' END, CASE WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 THEN 'rule:outside_profile' END) END AS violations
-       FROM (SELECT doc_id, doc_id % 29 AS r FROM documents)""",
+       FROM (SELECT doc_id, text, doc_id % 29 AS r FROM documents)""",
 )
 def _(t):
     return cn.parse_evaluate(evaluate_answers(t)).select("doc_id", F.array_join("violations", ",").alias("violations"))
@@ -246,7 +265,7 @@ def _(t):
 
 @query(
     "retry_rows",
-    f"""SELECT 'json_object' AS mode, doc_id FROM (SELECT doc_id, doc_id % 10 AS k, {_TRIAGE_RULES} AS v FROM (SELECT doc_id, doc_id % 29 AS r FROM documents)) WHERE k <> 1 AND (k IN (2, 3) OR v <> '')
+    f"""SELECT 'json_object' AS mode, doc_id FROM (SELECT doc_id, doc_id % 10 AS k, {_TRIAGE_RULES} AS v FROM (SELECT doc_id, text, doc_id % 29 AS r FROM documents)) WHERE k <> 1 AND (k IN (2, 3) OR v <> '')
         UNION ALL SELECT 'json_schema', doc_id FROM documents WHERE doc_id % 10 = 3""",
 )
 def _(t):

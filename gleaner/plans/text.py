@@ -89,13 +89,13 @@ def _(t):
 
 def inline_tokens(t: Inputs) -> DataFrame:
     opening = F.element_at(F.array(*[F.lit(p) for p in ("// ", "/*", " # ", "#", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return t.documents.select("doc_id", F.concat(F.lit("`"), opening, F.substring("text", 1, 20), F.lit("`")).alias("token"))
+    return t.documents.select("doc_id", F.concat(F.lit("`"), opening, "text", F.lit("`")).alias("token"))
 
 
 @query(
     "comment_marker",
     """SELECT doc_id, CASE WHEN c LIKE '//%' THEN '//' WHEN c LIKE '/*%' THEN '/*' WHEN regexp_matches(c, '^#(\\s|$)') THEN '#' END AS marker
-       FROM (SELECT doc_id, ltrim((['// ', '/*', ' # ', '#', ''])[CAST(doc_id % 5 AS INT) + 1] || rtrim(substr(text, 1, 20), '`')) AS c FROM documents)""",
+       FROM (SELECT doc_id, ltrim((['// ', '/*', ' # ', '#', ''])[CAST(doc_id % 5 AS INT) + 1] || rtrim(text, '`')) AS c FROM documents)""",
 )
 def _(t):
     return inline_tokens(t).select("doc_id", tx.comment_marker(F.col("token")).alias("marker"))
@@ -233,10 +233,10 @@ _WORDS = "list_filter(string_split_regex(lower({x}), '\\W+'), lambda w: w <> '')
     "token_similarity",
     f"""SELECT doc_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN CAST(0 AS DOUBLE)
                ELSE round(1 - length(array_to_string(list_filter(b, lambda w: NOT list_contains(a, w)), ' ')) / length(array_to_string(b, ' ')), 9) END AS similarity
-        FROM (SELECT doc_id, {_WORDS.format(x='substr(text, 1, 200)')} AS a, {_WORDS.format(x='substr(text, 100, 200)')} AS b FROM documents)""",
+        FROM (SELECT doc_id, {_WORDS.format(x='text')} AS a, {_WORDS.format(x="replace(text, 'ee', 'e')")} AS b FROM documents)""",
 )
 def _(t):
-    sim = tx.token_similarity(F.substring("text", 1, 200), F.substring("text", 100, 200))
+    sim = tx.token_similarity(F.col("text"), F.replace("text", F.lit("ee"), F.lit("e")))
     return t.documents.select("doc_id", F.round(sim, 9).alias("similarity"))
 
 

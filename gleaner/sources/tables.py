@@ -25,20 +25,25 @@ def write_snapshot(df: DataFrame, path: str, version: int) -> str:
     return target
 
 
-def current_version(spark: SparkSession, path: str) -> int | None:
-    """Newest complete version, NULL when none was written."""
+def complete_numbers(spark: SparkSession, path: str, key: str = "version") -> list[int]:
+    """Numbers of the folders ``key=number`` that were written to the end, rising."""
     jvm = spark._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
+        return []
     names = [s.getPath() for s in fs.listStatus(root)]
     done = [
         int(p.getName().split("=")[1])
         for p in names
-        if p.getName().startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+        if p.getName().startswith(f"{key}=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
     ]
-    return max(done, default=None)
+    return sorted(done)
+
+
+def current_version(spark: SparkSession, path: str) -> int | None:
+    """Newest complete version, NULL when none was written."""
+    return max(complete_numbers(spark, path), default=None)
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:

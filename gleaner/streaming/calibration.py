@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.feedback import EDITABLE, FROZEN, accuracy, confusion_matrix
-from ..sources.tables import current_version, write_snapshot
+from ..sources.tables import complete_numbers, write_snapshot
 
 
 def _fold(rows: DataFrame) -> DataFrame:
@@ -31,9 +31,7 @@ def calibration_stream(spark: SparkSession, events: DataFrame, state: str, out:
     def write(batch: DataFrame, batch_id: int) -> None:
         position = F.struct("ts", "event_id")
         rows = batch.withColumns({"first_at": position, "last_at": position}).drop("ts", "event_id")
-        newest = current_version(spark, state)
-        while newest is not None and newest > batch_id:
-            newest = newest - 1 or None
+        newest = max((v for v in complete_numbers(spark, state) if v <= batch_id), default=None)
         if newest is not None:
             rows = rows.unionByName(spark.read.parquet(f"{state}/version={newest:012d}"), allowMissingColumns=True)
         write_snapshot(_fold(rows), state, batch_id + 1)

@@ -9,11 +9,11 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import source_hash
 from ..operators.contents import upsert_captures, validate_capture
 from ..sources.captures import flatten_captures, parse_captures
-from ..sources.tables import read_snapshot, write_contents
+from ..sources.tables import complete_numbers, read_snapshot, write_contents
 
 CAPTURE_COLUMNS = [
     "capture_id", "source_type", "source_url", "canonical_url", "title", "author", "markdown", "capture_mode",
-    "capture_quality", "captured_at",
+    "capture_quality", "captured_at", "arrival",
 ]
 
 
@@ -22,18 +22,22 @@ def capture_stream(
 ) -> StreamingQuery:
     """Append every new capture to a log, refused lines to a quarantine folder.
 
-    An identical replay (same id and text) within the watermark is dropped.  A
-    batch writes its own folder in overwrite mode, so a batch that runs again
+    An identical replay (the same whole line) within the watermark is dropped,
+    refused lines are all kept.  ``arrival`` orders captures of one batch by the
+    time and path of their file, then by the line's hash.  A batch writes its own folder in overwrite mode, so a batch that runs again
     after a failure replaces its output instead of doubling it.
     """
-    lines = spark.readStream.format("text").load(source).withColumn("captured_at", F.current_timestamp())
+    digest = source_hash(F.col("value"))
+    lines = spark.readStream.format("text").load(source).select(
+        "value", F.current_timestamp().alias("captured_at"), digest.alias("_hash"),
+        F.concat_ws("|", F.date_format("_metadata.file_modification_time", "yyyyMMddHHmmssSSS"), "_metadata.file_path", digest).alias("arrival"),
+    )
     checked = validate_capture(parse_captures(lines))
     keyed = (
-        checked.withColumn("_id", F.coalesce("envelope.capture_id", "corrupt"))
-        .withColumn("_hash", source_hash(F.coalesce("envelope.document.text", "corrupt")))
+        checked.withColumn("_line", F.when(F.size("violations") == 0, F.col("_hash")).otherwise(F.uuid()))
         .withWatermark("captured_at", watermark)
-        .dropDuplicatesWithinWatermark(["_id", "_hash"])
-        .drop("_id", "_hash")
+        .dropDuplicatesWithinWatermark(["_line"])
+        .drop("_line", "_hash")
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -62,15 +66,28 @@ EMPTY_CONTENTS = (
 )
 
 
-def compact_captures(spark: SparkSession, log: str, contents: str, after_batch: int = -1) -> str:
-    """Fold logged captures into a new version of the contents.
+def compact_captures(
+    spark: SparkSession, log: str, contents: str, after_batch: int = -1, analyses: str | None = None, jobs: str | None = None
+) -> str:
+    """Fold logged captures into a new version of the contents, and of the analyses and jobs where their folders are given.
+
+    Only batches written to the end are read.  The contents come last: their ids,
+    and those of the analyses and jobs, follow from the page, so a job that failed
+    half-way can run again.
 
     The stream only appends; this job merges many batches at once, so the
     contents are not rewritten for every micro-batch.  Folding the same captures
     twice gives the same contents.
     """
-    captures = spark.read.parquet(log).filter(F.col("batch") > after_batch).drop("batch")
+    batches = [f"{log}/batch={n:012d}" for n in complete_numbers(spark, log, "batch") if n > after_batch]
     current = read_snapshot(spark, contents)
     if current is None:
         current = spark.createDataFrame([], EMPTY_CONTENTS)
-    return write_contents(upsert_captures(captures, current)["contents"], contents)
+    if not batches:
+        return write_contents(current, contents)
+    merged = upsert_captures(spark.read.parquet(*batches), current)
+    for path, new, key in ((analyses, merged["new_analyses"], "analysis_id"), (jobs, merged["new_jobs"], "job_id")):
+        if path is not None:
+            known = read_snapshot(spark, path)
+            write_contents(new if known is None else known.unionByName(new.join(known.select(key), key, "left_anti"), allowMissingColumns=True), path)
+    return write_contents(merged["contents"], contents)

@@ -62,7 +62,8 @@ class StageMachine(StatefulProcessor):
         events = pd.concat(list(rows)).sort_values("event_id")
         out = []
         for event in events.itertuples(index=False):
-            if event.event_id <= seen:
+            if event.event_id <= seen:  # a later batch brought it; it changes nothing but is not hidden
+                out.append((key[0], int(event.event_id), *state, "late"))
                 continue
             state, note = apply_event(state, event)
             seen = int(event.event_id)
@@ -78,7 +79,8 @@ def stage_stream(events: DataFrame) -> DataFrame:
     """Transitions of every analysis.
 
     ``events``: analysis_id, event_id (rising per analysis), kind, stage,
-    decision, source_hash.  The session must use the RocksDB state store.
+    decision, source_hash.  An event that comes in a later batch than its
+    successor leaves the state and is noted as ``late``.  The session must use the RocksDB state store.
     """
     return events.groupBy("analysis_id").transformWithStateInPandas(
         StageMachine(), outputStructType=OUTPUT_DDL, outputMode="Append", timeMode="None"

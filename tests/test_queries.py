@@ -10,8 +10,6 @@ from gleaner.plans.registry import QUERIES
 from tools.check import TABLES, compare
 
 FOLDER = "/root/testdata/sf0.001"
-# Minutes each, and covered by test_extraction.
-SLOW = {"main_content", "extract_pages"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
 
@@ -24,10 +22,10 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     status, detail = compare(spark, con, name, FOLDER)
-    assert status in ("OK", "ROWS") or (status == "EMPTY" and name == "calibration_suggestions"), detail
+    assert status in ("OK", "ROWS"), detail
 
 
 def test_flagship(spark):

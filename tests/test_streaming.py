@@ -1,4 +1,5 @@
 import json
+import os
 import sys
 import tempfile
 
@@ -29,8 +30,6 @@ def envelope(capture_id, url, text, quality="good"):
 
 
 def write_lines(folder, name, lines):
-    import os
-
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/{name}", "w") as f:
         f.write("\n".join(lines) + "\n")
@@ -65,6 +64,53 @@ def test_capture_feed(spark, folder):
     assert current_version(spark, contents) == 3
 
 
+def test_capture_feed_keeps_changes_and_refused_lines(spark, folder):
+    source, log, bad, ckpt, contents, analyses, jobs = (f"{folder}/{n}" for n in ("in", "log", "bad", "ckpt", "contents", "analyses", "jobs"))
+    line = envelope("capture-1", "https://e.org/a", "one")
+    write_lines(source, "1.txt", [line, line, envelope("capture-2", "https://e.org/b", "two"), "{broken", "{broken", "[]"])
+    captures.capture_stream(spark, source, log, bad, ckpt).awaitTermination()
+    assert spark.read.parquet(log).count() == 2
+    assert spark.read.parquet(bad).count() == 3, "refused lines are not collapsed"
+    # The same text under a new title is no replay.
+    write_lines(source, "2.txt", [line.replace('"title": "T"', '"title": "New"')])
+    captures.capture_stream(spark, source, log, bad, ckpt).awaitTermination()
+    os.makedirs(f"{log}/batch=000000000099")  # a batch that was never finished
+    seen = []
+    for _ in range(2):
+        captures.compact_captures(spark, log, contents, analyses=analyses, jobs=jobs)
+        stored = read_snapshot(spark, contents).orderBy("canonical_url")
+        seen.append([(r.title, r.markdown) for r in stored.collect()])
+        ids = read_snapshot(spark, analyses).join(stored, "content_id").count()
+        assert (ids, read_snapshot(spark, jobs).count()) == (2, 2)
+    assert seen[0] == seen[1] == [("New", "one"), ("T", "two")]
+
+
+def test_two_versions_of_one_capture_in_one_batch(spark, folder):
+    source, log, bad, ckpt, contents = (f"{folder}/{n}" for n in ("in", "log", "bad", "ckpt", "contents"))
+    for number, text in ((1, "older"), (2, "newer")):
+        write_lines(source, f"{number}.txt", [envelope("capture-1", "https://e.org/a", text)])
+        os.utime(f"{source}/{number}.txt", (1_700_000_000 + number,) * 2)
+    captures.capture_stream(spark, source, log, bad, ckpt).awaitTermination()
+    captures.compact_captures(spark, log, contents)
+    assert [r.markdown for r in read_snapshot(spark, contents).collect()] == ["newer"]
+
+
+def test_late_event_is_noted(spark, folder):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stages.ROCKSDB)
+    schema = "analysis_id string, event_id long, kind string, stage string, decision string, source_hash string"
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        events = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        stream = stages.stage_stream(events).writeStream.format("parquet").option("path", f"{folder}/out")
+        stream.option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start().awaitTermination()
+
+    feed([("a", 1, "capture", None, None, "h"), ("a", 3, "result", "triage", "continue", "h")])
+    feed([("a", 2, "pause", None, None, None)])
+    got = {r.event_id: (r.stage, r.note) for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got[2] == (got[3][0], "late")
+
+
 def test_calibration_feed(spark, folder):
     schema = "event_id long, analysis_id string, ts timestamp, ai_recommendation string, preferred_recommendation string"
     source = f"{folder}/in"
