@@ -1,5 +1,6 @@
 """Corpus operators on small tables: brute force, round trips, held-out accuracy and odd inputs."""
 
+import base64
 import hashlib
 import math
 import random
@@ -9,11 +10,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from gleaner.llm import bpe, common, decontamination, html_extraction, lm_scoring, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filter
 from gleaner.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, n long, spans string, row string, key string, read long, word string, slot int"
+SYLLABLES = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "io", "le", "is", "ou", "ar", "as", "de", "rt", "ve"]
 LONG = " ".join(f"word{i % 997}" for i in range(60_000))
 TEXTS = [(1, "the cat sat on the mat\nthe cat sat on the mat"), (2, None), (3, ""), (4, " \t\n"), (None, "a b c"), (5, LONG), (6, "same words here now"), (6, "same words here now"), (7, "token = abcdefgh12 ünï"), (8, "x" * 5_000)]
 
@@ -165,6 +168,21 @@ def test_compression_bands(spark):
     assert found[1]["kept"] and not found[2]["kept"] and found[2]["verdict"] == "repetitive" and found[3]["verdict"] == "incompressible"
 
 
+def test_compression_bands_depend_on_length():
+    """Made-up words pass at any length; the same words with a mark of three signs after each compress better and fail from some length on."""
+    rng, squeeze, bands = random.Random(9), zstandard.ZstdCompressor(level=3), quality_rules.Bands()
+    words = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(30_000)]
+    for n in (60, 150, 400, 1_000, 6_000, 30_000):
+        assert quality_rules.band_verdict(" ".join(words[:n]).encode(), bands, squeeze)[0], n
+    for n in (1_000, 6_000):
+        marked = " ".join(w + rng.choice(["###", "%%%", "$$$", "&&&"]) for w in words[:n])
+        assert quality_rules.band_verdict(marked.encode(), bands, squeeze)[4] == "repetitive", n
+    assert quality_rules.band_verdict(base64.b64encode(rng.randbytes(3_000)), bands, squeeze)[4] == "incompressible"
+    assert quality_rules.band_verdict(b"ab" * 50, bands, squeeze)[0], "too short to judge"
+    least = [bands.at(n)[0] for n in range(500, 60_000, 97)]
+    assert all(a >= b for a, b in zip(least, least[1:], strict=False)) and bands.at(10**9) == bands.at(10**6)
+
+
 # --- op5
 def test_shards_are_contiguous_and_even(spark):
     rng = random.Random(5)
