@@ -59,15 +59,17 @@ def evaluate_requests(rows: DataFrame) -> DataFrame:
 def run_stage(requests: DataFrame, provider: Provider, stage: str, system_prompt: str = "") -> DataFrame:
     """Send every request to the provider, one Arrow batch at a time.
 
-    ``requests``: id, payload.  A failing row becomes a row with ``error``.
+    ``requests``: id, payload, and ``note`` if a row adds something of its own to
+    the system prompt.  A failing row becomes a row with ``error``.
     """
+    note = F.col("note") if "note" in requests.columns else F.lit("")
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             answers = []
-            for payload in frame["payload"]:
+            for payload, note_of_row in zip(frame["payload"], frame["note"], strict=True):
                 try:
-                    raw, finish = provider.complete(system_prompt, payload, stage)
+                    raw, finish = provider.complete(system_prompt + (note_of_row or ""), payload, stage)
                     answers.append((raw, finish, None))
                 except Exception as error:  # one bad call must not fail the task
                     answers.append((None, None, f"{type(error).__name__}: {error}"))
@@ -75,7 +77,7 @@ def run_stage(requests: DataFrame, provider: Provider, stage: str, system_prompt
             yield pd.concat([frame[["id"]].reset_index(drop=True), out], axis=1)
 
     kind = dict(requests.dtypes)["id"]
-    return requests.select("id", "payload").mapInPandas(
+    return requests.select("id", "payload", note.alias("note")).mapInPandas(
         call, f"id {kind}, raw string, finish_reason string, error string"
     )
 
@@ -109,11 +111,13 @@ def complete_stage(
     """Run a stage with one retry and check the answers against the contract.
 
     Answers are checkpointed before they are read twice: a call to a model is
-    neither free nor repeatable, so it must not run again for a filter.
+    neither free nor repeatable, so it must not run again for a filter.  A retry
+    tells the model what was wrong with the first answer.
     """
     parse = PARSERS[stage]
     first = parse(cut_lineage(run_stage(requests, provider, stage, system_prompt)))
-    again = requests.join(retry_rows(first, mode).select("id"), "id", "left_semi")
+    reason = F.concat_ws(" ", F.lit("\nThe previous answer was refused:"), answer_problem(), F.array_join("violations", ", "))
+    again = requests.join(retry_rows(first, mode).select("id", reason.alias("note")), "id")
     second = parse(cut_lineage(run_stage(again, provider, stage, system_prompt + retry_prompt)))
     kept = first.join(second.select("id"), "id", "left_anti")
     return kept.unionByName(second).withColumn("problem", answer_problem())
