@@ -33,19 +33,18 @@ class Search:
 
     A word weighs its IDF to the power ``emphasis``.
 
-    The space is fitted on at most about ``fit_documents`` documents, taken by the hash
-    of their id; every passage of every document is searched in it. A candidate has a
+    The space is fitted on every passage of every document and on the items, which weigh
+    as much as all documents together. A candidate has a
     cosine of ``cosine`` or more and ``shared`` of the item's distinct words. It is a leak if the common subsequence has ``overlap``
     of the item's words, or ``partial`` of them and ``answer`` of those of its last sentence.
     """
 
     window: int = 32
     stride: int = 16
-    rank: int = 96
+    rank: int = 128
     extra: int = 16
     emphasis: float = 2.0
-    fit_documents: int = 6_000
-    cosine: float = 0.36
+    cosine: float = 0.4
     shared: float = 0.4
     overlap: float = 0.75
     partial: float = 0.6
@@ -113,18 +112,31 @@ def passages(counts: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray
     return (np.cumsum(counts) - counts)[owner] + inside, owner
 
 
+def row_sums(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sum of the rows of ``weights`` that each row of numbers names; the last row of ``weights`` is zero and is skipped."""
+    rows = np.sort(rows, axis=1)  # the words that weigh nothing come last
+    filled = (rows < len(weights) - 1).sum(1)
+    order = np.argsort(-filled, kind="stable")
+    rows, filled = rows[order], filled[order]
+    sums = np.zeros((len(rows), weights.shape[1]), np.float32)
+    held = np.empty((1_024, weights.shape[1]), np.float32)
+    for at in range(0, len(rows), len(held)):  # so few rows at once stay in the processor's cache
+        part, most = sums[at : at + len(held)], filled[at : at + len(held)]
+        for j in range(int(most[0])):
+            n = int(np.searchsorted(-most, -j))  # rows with more than j such words
+            part[:n] += np.take(weights, rows[at : at + n, j], axis=0, out=held[:n], mode="clip")
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
 def passage_sums(rows: np.ndarray, counts: np.ndarray, weights: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum of the terms' rows of ``weights`` over each passage, the passage's first block and its text.
 
     A passage's vector is linear in its words, so the sums of its strides are added up
     instead of building a sparse row for each passage.
     """
-    sums = np.zeros((len(rows), weights.shape[1]), np.float32)
-    held = np.empty((1_024, weights.shape[1]), np.float32)
-    for at in range(0, len(rows), len(held)):  # so few rows at once stay in the processor's cache
-        part = sums[at : at + len(held)]
-        for column in rows[at : at + len(held)].T:
-            part += np.take(weights, column, axis=0, out=held[: len(part)], mode="clip")
+    sums = row_sums(rows, weights)
     first, owner = passages(counts, search)
     last = np.cumsum(counts)[owner] - 1
     out = sums[first].copy()
@@ -134,75 +146,135 @@ def passage_sums(rows: np.ndarray, counts: np.ndarray, weights: np.ndarray, sear
     return out, first, owner
 
 
-def document_frequencies(rows: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """In how many documents each term occurs, and how many documents there are: counted over all of them."""
+def term_sums(rows: np.ndarray, spread: np.ndarray, size: int, wide: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Terms met, and for each the sum of its blocks' rows of ``spread``, once for each time that it occurs.
+
+    The blocks of a term are dealt into rows of ``wide``, which are added up first.
+    """
+    flat = rows.ravel()
+    hits = np.flatnonzero(flat < size)
+    if not len(hits):
+        return hits, np.zeros((0, spread.shape[1]))
+    hits = hits[np.argsort(flat[hits], kind="stable")]
+    terms, begin, n = np.unique(flat[hits], return_index=True, return_counts=True)
+    lines = -(-n // wide)
+    top = np.cumsum(lines) - lines
+    dealt = np.full(int(lines.sum()) * wide, len(spread), np.int64)
+    dealt[np.repeat(top * wide - begin, n) + np.arange(len(hits))] = hits // rows.shape[1]
+    each = row_sums(dealt.reshape(-1, wide), np.vstack([spread, np.zeros((1, spread.shape[1]), np.float32)]))
+    return terms, np.add.reduceat(each, top, axis=0, dtype=np.float64)
+
+
+def gram_product(rows: np.ndarray, counts: np.ndarray, weights: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray, float]:
+    """For passages P as counts of terms: terms met, their rows of P'P ``weights``, and the sum of squares of P ``weights``."""
+    y, first, owner = passage_sums(rows, counts, weights, search)
+    # Each word of a passage adds the passage's y to its term: summed for each block first.
+    spread = np.zeros((len(rows), weights.shape[1]), np.float32)
+    last = np.cumsum(counts)[owner] - 1
+    for shift in range(search.window // search.stride):
+        inside = first + shift <= last
+        spread[first[inside] + shift] += y[inside]
+    return *term_sums(rows, spread, len(weights) - 1), float((y.astype(np.float64) ** 2).sum())
+
+
+def numbered(rows: DataFrame, items: Items) -> DataFrame:
+    """Rows (ids, counts, numbers), one for each chunk of texts: their ids, how many words each has, and the words' numbers."""
     terms = rows.sparkSession.sparkContext.broadcast(items.terms)
-    size = len(items.terms)
+    kind = number_kind(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, seen = TermNumbers(terms.value), np.zeros(size + 1, np.int64), 0
-        for _, texts in chunks(batches):
+        known = TermNumbers(terms.value)
+        for part, texts in chunks(batches):
             numbers = known.of(texts)
-            met = np.zeros(size + 1, bool)
+            counts = np.array([len(x) for x in numbers], np.int64)
+            ids = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), pa.concat_arrays([part.column(0).cast(pa.int64())]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([counts.tobytes()]), pa.array([np.concatenate(numbers).astype(kind).tobytes()])], ["ids", "counts", "numbers"])
+
+    return rows.mapInArrow(run, "ids array<long>, counts binary, numbers binary")
+
+
+def number_kind(items: Items) -> type:
+    return np.uint16 if len(items.terms) < 1 << 16 else np.int32
+
+
+def numbered_chunks(batches: Iterator[pa.RecordBatch], kind: type) -> Iterator[tuple[list[int | None], list[np.ndarray]]]:
+    """Ids and numbers of the words of each chunk."""
+    for batch in batches:
+        for ids, counts, numbers in zip(*batch.columns, strict=True):
+            ends = np.cumsum(np.frombuffer(counts.as_py(), np.int64))[:-1]
+            yield ids.as_py(), np.split(np.frombuffer(numbers.as_py(), kind).astype(np.int64), ends)
+
+
+def document_frequencies(words: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """In how many documents each term occurs, and how many documents there are: counted over all of them."""
+    size, kind = len(items.terms), number_kind(items)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(size + 1, np.int64), 0
+        met = np.zeros(size + 1, bool)
+        for _, numbers in numbered_chunks(batches, kind):
             for own in numbers:
                 met[:] = False
                 met[own] = True
                 total[:size] += met[:size]
-            seen += len(texts)
+            seen += len(numbers)
         total[size] = seen
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["term", "n"])
 
-    counts = rows.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = words.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(size + 1, np.int64)
     for row in counts:
         df[row["term"]] = row["n"]
     return df[:size], int(df[size])
 
 
-def latent_space(rows: DataFrame, items: Items, idf: np.ndarray, search: Search) -> np.ndarray:
-    """Term vectors (terms x rank) of a randomised SVD of the passages' TF-IDF matrix A.
+def latent_space(words: DataFrame, items: Items, idf: np.ndarray, search: Search) -> np.ndarray:
+    """Term vectors (terms x rank) of a randomised SVD of the TF-IDF matrix A of all passages and of the items.
 
     Each pass forms A'(A Q) in the tasks and adds the rows of each term; one pass for
     the range, one for the projection. Only terms x (rank + extra) numbers leave a task.
+    The items' rows are scaled to the same sum of squares as all passages, so that every
+    term has its place and more documents do not push the items out of the space.
     """
     size, wide = len(items.terms), min(search.rank + search.extra, len(items.terms))
-    spark = rows.sparkSession
-    terms = spark.sparkContext.broadcast(items.terms)
+    spark = words.sparkSession
     names = [f"v{j}" for j in range(wide)]
+    kind = number_kind(items)
+    own = blocks([np.array([items.terms[w] for w in ws], np.int64) for ws in items.words], size, search.stride)
 
-    def product(q: np.ndarray) -> np.ndarray:
-        sent = spark.sparkContext.broadcast(q)
+    def product(q: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, float]:
+        sent = spark.sparkContext.broadcast(weigh(idf, q))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, total = TermNumbers(terms.value), np.zeros((size, wide))
-            weighted = np.vstack([idf[:, None] * sent.value, np.zeros((1, wide))]).astype(np.float32)
-            for _, texts in chunks(batches):
-                rows, counts = blocks(known.of(texts), size, search.stride)
-                y, first, owner = passage_sums(rows, counts, weighted, search)
-                # Each word of a passage adds the passage's y to its term: summed for each block first.
-                spread = np.zeros((len(rows), wide), np.float32)
-                last = np.cumsum(counts)[owner] - 1
-                for shift in range(search.window // search.stride):
-                    inside = first + shift <= last
-                    spread[first[inside] + shift] += y[inside]
-                for column in rows.T:
-                    hit = column < size
-                    np.add.at(total, column[hit], spread[hit])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), *[pa.array(c) for c in (total * idf[:, None]).T]], ["term", *names])
-
-        summed = rows.mapInArrow(run, ", ".join(["term long", *[f"{n} double" for n in names]])).groupBy("term").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-        out = np.zeros((size, wide))
+            total = np.zeros((size + 1, wide))
+            for _, numbers in numbered_chunks(batches, kind):
+                terms, sums, squares = gram_product(*blocks(numbers, size, search.stride), sent.value, search)
+                total[terms] += sums
+                total[size, 0] += squares
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), *[pa.array(c) for c in total.T]], ["term", *names])
+
+        summed = words.mapInArrow(run, ", ".join(["term long", *[f"{n} double" for n in names]])).groupBy("term").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+        out = np.zeros((size + 1, wide))
         out[summed["term"].to_numpy()] = summed[names].to_numpy()
-        return out
-
-    start = np.random.default_rng(7).standard_normal((size, wide))
-    q, _ = np.linalg.qr(product(start))
-    b = product(q)
-    values, vectors = np.linalg.eigh(q.T @ b)
+        terms, sums, squares = gram_product(*own, sent.value, search)
+        items_out = np.zeros((size, wide))
+        items_out[terms] = sums
+        return out[:size] * idf[:, None], out[size, 0], items_out * idf[:, None], squares
+
+    y, squares, y_items, squares_items = product(np.random.default_rng(7).standard_normal((size, wide)))
+    scale = squares / squares_items if squares > 0 and squares_items > 0 else 1.0
+    q, _ = np.linalg.qr(y + scale * y_items)
+    b, _, b_items, _ = product(q)
+    values, vectors = np.linalg.eigh(q.T @ (b + scale * b_items))
     order = np.argsort(values)[::-1][: search.rank]
     return q @ vectors[:, order]
 
 
+def weigh(idf: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Rows of the terms times their weights, and a row of zeros for other words."""
+    return np.vstack([idf[:, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+
+
 def subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, a row of bits per step (Hyyrö's method)."""
     places: dict[int, int] = {}
@@ -228,19 +300,17 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, search: Search = Sear
     items = read_items(benchmark, item_id, item_text)
     if not items.words:
         return spark.createDataFrame([], MATCHES)
-    df, n = document_frequencies(rows, items)
+    words = cut_lineage(numbered(rows, items))
+    df, n = document_frequencies(words, items)
     idf = (np.log((n + 1) / (df + 1)) + 0.05) ** search.emphasis
-    share = min(1.0, search.fit_documents / max(n, 1))
-    fitted = cut_lineage(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    vectors = latent_space(fitted.coalesce(8), items, idf, search)
-    weighted = np.vstack([idf[:, None] * vectors, np.zeros((1, vectors.shape[1]))]).astype(np.float32)
+    weighted = weigh(idf, latent_space(words, items, idf, search))
     queries = np.stack([weighted[[items.terms[w] for w in ws]].sum(0) for ws in items.words])
     queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     sent = spark.sparkContext.broadcast((items, weighted, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, weighted, queries = sent.value
-        other, known = len(items.terms), TermNumbers(items.terms)
+        other = len(items.terms)
         wanted = [[items.terms[w] for w in ws] for ws in items.words]
         answers = [[items.terms[w] for w in ws] for ws in items.answers]
         # Distinct terms of each item in a rectangle, filled up with a number that no word has.
@@ -249,8 +319,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, search: Search = Sear
         for q, w in enumerate(distinct):
             table[q, : len(w)] = w
         need = np.array([search.shared * len(w) for w in distinct])
-        for part, texts in chunks(batches):
-            numbers = known.of(texts)
+        for ids, numbers in numbered_chunks(batches, number_kind(items)):
             rows, counts = blocks(numbers, other, search.stride)
             vectors, start, owner = passage_sums(rows, counts, weighted, search)
             last = np.cumsum(counts)[owner] - 1
@@ -277,13 +346,12 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, search: Search = Sear
                     found = (lcs, float(near[p[i], item] / norms[at + p[i]]), said, begin)
                     if (lcs >= search.overlap * size or said >= search.answer) and found[:2] > best.get((k, item), (-1,))[:2]:
                         best[k, item] = found
-            ids = part.column(0).to_pylist()
             out = [(ids[k], i, cos, lcs, len(items.words[q]), said, at) for (k, q), (lcs, cos, said, at) in sorted(best.items()) for i in items.ids[q]]
             cols = list(zip(*out, strict=True)) if out else [[] for _ in range(7)]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in MATCHES.split(", ")])
 
-    return rows.mapInArrow(run, MATCHES)
+    return words.mapInArrow(run, MATCHES)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Search(), id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -339,6 +339,30 @@ def test_leaks(spark):
     assert decontamination.drop_contaminated(df, benchmark(spark, items)).count() == 300 - len(found)
 
 
+def test_leaks_of_words_that_one_document_holds(spark):
+    """Items whose words occur in one document each are found, word for word and paraphrased, among many documents without them."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"t{i}x{k}" for k in range(rng.randint(15, 30)))) for i in range(40)]
+    docs = [(i, " ".join(f"w{rng.randint(0, 200)}" for _ in range(5))) for i in range(20_000)]
+    for i, text in items:
+        own = [w if i % 2 or k % 6 != 3 else "other" for k, w in enumerate(text.split())]
+        docs[i * 499] = (i * 499, " ".join([docs[i * 499][1], *own, "w1 w2 w3"]))
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(i * 499, i) for i, _ in items}
+
+
+def test_term_sums_by_table():
+    rng = np.random.default_rng(13)
+    rows = np.where(rng.random((50, 16)) < 0.5, 30, rng.integers(0, 20, (50, 16)))
+    spread = rng.standard_normal((50, 5)).astype(np.float32)
+    want = np.zeros((31, 5))
+    np.add.at(want, rows, spread[:, None])
+    terms, sums = decontamination.term_sums(rows, spread, 30)
+    assert terms.tolist() == sorted(set(rows.ravel().tolist()) - {30}) and np.allclose(sums, want[terms], atol=1e-5)
+    weights = np.vstack([rng.standard_normal((30, 5)), np.zeros((1, 5))]).astype(np.float32)
+    assert np.allclose(decontamination.row_sums(rows, weights), weights[rows].sum(1), atol=1e-5)
+
+
 def test_subsequence_by_table():
     rng = random.Random(11)
     for _ in range(300):
