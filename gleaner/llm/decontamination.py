@@ -34,8 +34,9 @@ class Search:
     A word weighs its IDF to the power ``emphasis``.
 
     The space is fitted on every passage of every document and on the items, which weigh
-    as much as all documents together. A candidate has a
-    cosine of ``cosine`` or more and ``shared`` of the item's distinct words. It is a leak if the common subsequence has ``overlap``
+    as much as all documents together. An item of more than ``window`` words is searched in
+    pieces of so many. A candidate has a cosine of ``cosine`` or more with a piece and
+    ``shared`` of the piece's distinct words. It is a leak if the common subsequence has ``overlap``
     of the item's words, or ``partial`` of them and ``answer`` of those of its last sentence.
     """
 
@@ -82,6 +83,12 @@ def read_items(benchmark: DataFrame, id: str, text: str) -> Items:
     return Items([i for i, _ in found.values()], [list(w) for w in found], [a for _, a in found.values()], terms)
 
 
+def pieces(words: list, window: int) -> list[list]:
+    """The words in pieces of ``window``; the last piece reaches the end and may overlap the one before."""
+    starts = [*range(0, len(words) - window, window), max(0, len(words) - window)]
+    return [words[i : i + window] for i in starts]
+
+
 class TermNumbers:
     """Number of each word: its term, or ``len(terms)`` for any other word."""
 
@@ -304,18 +311,20 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, search: Search = Sear
     df, n = document_frequencies(words, items)
     idf = (np.log((n + 1) / (df + 1)) + 0.05) ** search.emphasis
     weighted = weigh(idf, latent_space(words, items, idf, search))
-    queries = np.stack([weighted[[items.terms[w] for w in ws]].sum(0) for ws in items.words])
+    cut = [(q, [items.terms[w] for w in piece]) for q, ws in enumerate(items.words) for piece in pieces(ws, search.window)]
+    queries = np.stack([weighted[piece].sum(0) for _, piece in cut])
     queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    sent = spark.sparkContext.broadcast((items, weighted, queries))
+    sent = spark.sparkContext.broadcast((items, cut, weighted, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weighted, queries = sent.value
+        items, cut, weighted, queries = sent.value
         other = len(items.terms)
         wanted = [[items.terms[w] for w in ws] for ws in items.words]
         answers = [[items.terms[w] for w in ws] for ws in items.answers]
-        # Distinct terms of each item in a rectangle, filled up with a number that no word has.
-        distinct = [list(dict.fromkeys(w)) for w in wanted]
-        table = np.full((len(wanted), max(map(len, distinct))), other + 1, np.int64)
+        # Distinct terms of each piece in a rectangle, filled up with a number that no word has.
+        whole = np.array([q for q, _ in cut], np.int64)
+        distinct = [list(dict.fromkeys(w)) for _, w in cut]
+        table = np.full((len(cut), max(map(len, distinct))), other + 1, np.int64)
         for q, w in enumerate(distinct):
             table[q, : len(w)] = w
         need = np.array([search.shared * len(w) for w in distinct])
@@ -335,15 +344,19 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, search: Search = Sear
                     inside = np.flatnonzero(start[at:end] + shift <= last[at:end])
                     present[inside[:, None], rows[start[at:end][inside] + shift]] = True
                 both = np.concatenate([present[p[i : i + 50_000, None], table[q[i : i + 50_000]]].sum(1) for i in range(0, len(p), 50_000)]) if len(p) else np.zeros(0)
-                for i in np.flatnonzero(both >= need[q]):
-                    k, item, begin = int(owner[at + p[i]]), int(q[i]), int(first[at + p[i]])
+                hit = np.flatnonzero(both >= need[q])
+                # Of an item's pieces that a passage is near, the nearest counts; the subsequence is taken once.
+                hit = hit[np.lexsort((-near[p[hit], q[hit]], whole[q[hit]], p[hit]))]
+                hit = hit[np.r_[True, (np.diff(p[hit]) != 0) | (np.diff(whole[q[hit]]) != 0)]] if len(hit) else hit
+                for i in hit:
+                    k, item, begin = int(owner[at + p[i]]), int(whole[q[i]]), int(first[at + p[i]])
                     size = len(wanted[item])
                     passage = numbers[k][max(0, begin - size) : begin + search.window + size].tolist()
                     lcs = subsequence(wanted[item], passage)
                     if lcs < search.partial * size:
                         continue
                     said = subsequence(answers[item], passage) / len(answers[item])
-                    found = (lcs, float(near[p[i], item] / norms[at + p[i]]), said, begin)
+                    found = (lcs, float(near[p[i], q[i]] / norms[at + p[i]]), said, begin)
                     if (lcs >= search.overlap * size or said >= search.answer) and found[:2] > best.get((k, item), (-1,))[:2]:
                         best[k, item] = found
             out = [(ids[k], i, cos, lcs, len(items.words[q]), said, at) for (k, q), (lcs, cos, said, at) in sorted(best.items()) for i in items.ids[q]]

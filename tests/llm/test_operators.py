@@ -363,6 +363,31 @@ def test_term_sums_by_table():
     assert np.allclose(decontamination.row_sums(rows, weights), weights[rows].sum(1), atol=1e-5)
 
 
+def test_leaks_of_long_items(spark):
+    """Items of 100 to 500 words, copied whole or with one word in six replaced, at any place of a text."""
+    rng = random.Random(14)
+    words = [f"{a}{b}" for a in SYLLABLES for b in SYLLABLES]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate([100, 130, 200, 333, 500])]
+    docs, want = [], set()
+    for i in range(60):
+        text = [rng.choice(words) for _ in range(rng.randint(0, 300))]
+        if i % 2:
+            item = rng.choice(items)
+            at = rng.randint(0, len(text))
+            text[at:at] = [f"z{k}" if i % 4 == 1 and k % 6 == 2 else w for k, w in enumerate(item[1].split())]
+            want.add((i, item[0]))
+        docs.append((i, " ".join(text)))
+    found = decontamination.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark(spark, items)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    assert all(r["lcs"] >= 0.8 * r["item_words"] for r in found)
+
+
+def test_pieces_cover_an_item():
+    for n in range(1, 100):
+        cut = decontamination.pieces(list(range(n)), 32)
+        assert {x for p in cut for x in p} == set(range(n)) and {len(p) for p in cut} == {min(n, 32)} and len(cut) == -(-n // 32)
+
+
 def test_subsequence_by_table():
     rng = random.Random(11)
     for _ in range(300):
