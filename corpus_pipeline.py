@@ -29,8 +29,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by n-gram Jaccard similarity, the one with the smallest id stays."""
-    return ngram_join.keep_one(docs.select(*COLUMNS))
+    """Of each group of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the one with the smallest id stays."""
+    return ngram_join.keep_one(docs.select(*COLUMNS), ngram_join.Join(words=5, percent=80))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from .common import chunks, columns, connected_components, pairs
 
 #: Fixed odd multipliers of the hash.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-SKETCH = "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>"
+SKETCH = "doc_id long, mark long, n_shingles long, f1 long, f2 long, keys array<long>"
 SETS = "n_shingles long, f1 long, f2 long, shingles array<long>"
 
 
@@ -158,8 +158,8 @@ def sketches(rows: DataFrame, join: Join) -> DataFrame:
                 keys.append(np.concatenate([np.zeros(0, np.uint64), *[segment_keys(own, level, join) for level in levels]]))
                 drawn.add(pair)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), ragged_array(keys)],
-                ["doc_id", "n_shingles", "f1", "f2", "keys"],
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), ragged_array(keys)],
+                ["doc_id", "mark", "n_shingles", "f1", "f2", "keys"],
             )
 
     return rows.mapInArrow(run, SKETCH)
@@ -284,8 +284,12 @@ def ngram_components(documents: DataFrame, join: Join = Join(), id: str = "doc_i
     Then pairs of other members are compared unless they bear the same label, which
     connects them already. No link between different components' classes is left out.
     """
-    rows = columns(documents, doc_id=id, text=text)
-    drawn = cut_lineage(sketches(rows, join))
+    return linked_rows(columns(documents, doc_id=id, text=text), join).select("doc_id", "n_shingles", "component_id")
+
+
+def linked_rows(rows: DataFrame, join: Join) -> DataFrame:
+    """One row per row (doc_id, text): its id, the text's hash (``mark``), n_shingles, component_id and a node of its component (``head``)."""
+    drawn = cut_lineage(sketches(rows.select("doc_id", F.xxhash64("text").alias("mark"), "text"), join))
     classes = drawn.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("root"))
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
     members, central = with_pivots(bucket_members(drawn, classes))
@@ -312,19 +316,25 @@ def ngram_components(documents: DataFrame, join: Join = Join(), id: str = "doc_i
     joined = connected_components(links)
     named = classes.select("node", "root", "n_shingles", "f1", "f2").join(joined.withColumnRenamed("root", "head"), "node", "left").withColumn("head", F.coalesce("head", "node"))
     least = named.groupBy("head").agg(F.min("root").alias("component_id"))
-    named = named.join(least, "head").select("n_shingles", "f1", "f2", "component_id")
-    out = drawn.select("doc_id", "n_shingles", "f1", "f2").join(named, ["n_shingles", "f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(least, "head").select("n_shingles", "f1", "f2", "component_id", "head")
+    out = drawn.select("doc_id", "mark", "n_shingles", "f1", "f2").join(named, ["n_shingles", "f1", "f2"], "left")
+    return out.select("doc_id", "mark", "n_shingles", "head", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(documents: DataFrame, join: Join = Join(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents whose id names their component: one of each group of linked texts stays.
+    """One row of each group of linked texts stays: of the smallest id, null ids last.
 
-    Rows without shingles stay. Rows that share the kept id all stay if their ids repeat;
-    a component of null ids stays whole.
+    Ids may repeat: each row is judged by its own text, told apart by its 64-bit hash, and
+    of rows with equal id and text one stays. Rows without shingles all stay.
     """
-    kept = ngram_components(documents, join, id, text).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, documents[id].eqNullSafe(F.col("_kept")), "left_semi")
+    found = cut_lineage(linked_rows(columns(documents, doc_id=id, text=text), join))
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("mark").alias("_mark"))
+    best = found.filter("n_shingles > 0").groupBy("head").agg(F.min(order).alias("best")).select("best.*", F.lit(False).alias("_bare"))
+    bare = found.filter("n_shingles = 0").select(order.alias("best")).select("best.*", F.lit(True).alias("_bare")).distinct()
+    none, own, mark = F.col(f"`{id}`").isNull(), F.coalesce(F.col(f"`{id}`"), F.lit(0)), F.xxhash64(F.col(f"`{text}`"))
+    rows = documents.select(none.alias("_none"), own.alias("_id"), mark.alias("_mark"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_row"))
+    rows = rows.join(best.unionByName(bare), ["_id", "_mark", "_none"]).withColumn("_own", F.when(F.col("_bare"), F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    return rows.dropDuplicates(["_id", "_mark", "_none", "_own"]).select("_row.*")
 
 
 ORACLE = r"""

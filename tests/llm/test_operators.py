@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 import zstandard
 
+import corpus_pipeline
 from gleaner.llm import bpe, common, decontamination, html_extraction, lm_scoring, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filter
 from gleaner.llm.queries import tokenizer_path
 
@@ -275,6 +276,33 @@ def test_join_by_brute_force(spark, block):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()} == brute_components(rows)
 
 
+def test_pipeline_keeps_one_by_brute_force(spark):
+    """The pipeline's stage links at 5 words and 0.8, and keeps one row of each group, repeated rows and ids included."""
+    rng = random.Random(15)
+    rows = []
+    for _ in range(14):
+        text = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(3, 150))]
+        for k in range(8):
+            copy = list(text)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                copy[rng.randrange(len(copy))] = f"w{rng.randint(0, 300)}"
+            if k % 2:
+                copy += [f"w{rng.randint(0, 300)}" for _ in range(len(text) * rng.choice([5, 12, 20, 30]) // 100)]
+            rows.append((rng.choice([len(rows), len(rows), rng.randint(0, 60)]), " ".join(copy)))
+    rows += [rows[5], rows[5], rows[17]] + [(None, "alone with no id at all here")] * 2 + [(1, ""), (1, ""), (None, None)]
+    rng.shuffle(rows)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for _, t in rows)]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    ids = [min((rows[k][0] is None, rows[k][0] or 0) for k in range(len(rows)) if group[k] == g) for g in {group[k] for k in range(len(rows)) if sets[k]}]
+    want = Counter([None if none else i for none, i in ids] + [i for (i, _), s in zip(rows, sets, strict=True) if not s])
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, "").collect()) == want
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(8)
     join = ngram_join.Join()
