@@ -25,7 +25,8 @@ THRESHOLD = 0.3
 class Settings:
     """Sizes of the network and of its training.
 
-    Windows of ``window`` words begin every ``stride`` words. The sample takes the
+    Windows of ``window`` words begin every ``stride`` words. A word of more than ``piece`` bytes,
+    such as a sentence of a script without spaces, stands as overlapping pieces. The sample takes the
     labelled rows of either class that come first by the hash of their id, at most
     ``per_class`` of each, with texts of at most ``sample_bytes``. Training takes ``steps``
     batches, in which a share of the words is known by its letters alone.
@@ -37,7 +38,7 @@ class Settings:
     width: int = 8
     hidden: int = 8
     grams: tuple[int, ...] = (3, 4, 5)
-    ends: int = 12
+    piece: int = 24
     per_class: int = 1_500
     sample_bytes: int = 1 << 16
     steps: int = 280
@@ -57,8 +58,21 @@ class Network:
     calibration: tuple[float, float] = (1.0, 0.0)
 
 
-def split_words(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").split()
+def split_words(text: str, s: Settings) -> list[bytes]:
+    """Words in lower case, parted by white space; a long one as pieces that begin every half piece, at whole letters."""
+    words = text.lower().encode("utf-8", "replace").split()
+    if not words or len(max(words, key=len)) <= s.piece:
+        return words
+    return [p for w in words for p in ((w,) if len(w) <= s.piece else word_pieces(w, s.piece))]
+
+
+def word_pieces(word: bytes, size: int) -> list[bytes]:
+    def whole(i: int) -> int:
+        while i < len(word) and word[i] & 0xC0 == 0x80:
+            i += 1
+        return i
+
+    return [word[whole(i) : whole(i + size)] for i in range(0, len(word) - size + size // 2, size // 2)]
 
 
 @dataclass
@@ -78,8 +92,8 @@ class Spelled:
 
 
 def spell(words: list[bytes], s: Settings) -> Spelled:
-    """Hash words and their byte n-grams; a word of more than ``2 x ends`` bytes counts by its ends."""
-    shown = [b"^" + (w if len(w) <= 2 * s.ends else w[: s.ends] + w[-s.ends :]) + b"$" for w in words]
+    """Hash words and their byte n-grams."""
+    shown = [b"^" + w + b"$" for w in words]
     data = np.frombuffer(b"".join(shown), np.uint8).astype(np.uint64)
     lengths = np.array([len(w) for w in shown], np.int64)
     begin = np.cumsum(lengths) - lengths
@@ -230,7 +244,7 @@ class Scorer:
             self.forget()
         known, fresh_words, numbers, lengths = self.known, [], [], []
         for text in texts:
-            words = split_words(text)
+            words = split_words(text, self.network.settings)
             for w in words:
                 if w not in known:
                     known[w] = len(known)
@@ -285,7 +299,7 @@ def train(texts: list[str], labels: np.ndarray, s: Settings = Settings(), toxic_
         network.calibration = (0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
         return network
     vocabulary: dict[bytes, int] = {b"\x00": 0}  # stands where a window has no word
-    numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split_words(t)], np.int64) for t in texts]
+    numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in split_words(t, s)], np.int64) for t in texts]
     words = spell_many(list(vocabulary), s)
     start_rows(network, words, numbers, y)
     flat = np.concatenate([*numbers, np.zeros(1, np.int64)])

@@ -217,6 +217,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in held]) > 0.95
 
 
+def test_toxicity_inside_text_without_spaces():
+    """A phrase in the middle of a long unspaced text, in Chinese letters or joined by signs, tells held-out texts apart."""
+    rng = random.Random(16)
+    signs = [chr(0x4E00 + 7 * i) for i in range(150)]
+    names = [f"{a}{b}" for a in SYLLABLES[:12] for b in SYLLABLES[12:]]
+    rows = []
+    for i in range(700):
+        parts = [rng.choice(signs) for _ in range(rng.randint(40, 120))] if i % 2 else [rng.choice(names) + "_" for _ in range(rng.randint(8, 24))]
+        bad = i % 4 < 2
+        if bad:
+            parts.insert(rng.randint(len(parts) // 3, 2 * len(parts) // 3), "毒蛇鬼" if i % 2 else "scumbag_")
+        rows.append(("".join(parts), int(bad)))
+    network = toxicity.train([t for t, _ in rows[:500]], np.array([y for _, y in rows[:500]]))
+    slope, shift = network.calibration
+    marked = 1 / (1 + np.exp(-(slope * toxicity.Scorer(network).documents([t for t, _ in rows[500:]]) + shift))) >= toxicity.THRESHOLD
+    toxic = np.array([y for _, y in rows[500:]], bool)
+    for kind in (0, 1):
+        assert marked[kind::2][toxic[kind::2]].mean() - marked[kind::2][~toxic[kind::2]].mean() > 0.5
+
+
+def test_pieces_of_long_words():
+    s = toxicity.Settings()
+    for word in ["a" * 24, "x" * 25 + "end", "".join(chr(0x4E00 + i) for i in range(100)), "abé" * 40]:
+        found = toxicity.split_words(word, s)
+        text = [p.decode() for p in found]
+        assert all(len(p) <= s.piece + 3 for p in found) and word.startswith(text[0]) and word.endswith(text[-1])
+        assert all(any(word[i : i + 3] in p for p in text) for i in range(len(word) - 2))
+
+
 def test_toxicity_gradients():
     s = toxicity.Settings(window=5, stride=3, buckets=64, width=3, hidden=2, forget_words=0.0, rate=0.0)
     p = {k: v.astype(np.float64) for k, v in toxicity.fresh(s).p.items()}
