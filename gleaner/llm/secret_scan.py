@@ -32,11 +32,17 @@ class Rule:
 
 #: The first three are the base kinds, in their listed order.
 BASE_KINDS = 3
+#: A key from its first line through its last; without that through the last line of base64. Whatever stands between,
+#: a group is repeated a bounded number of times, as Java takes stack for each.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,200}-{5,}END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[ \t\r\n]*(?:Proc-Type|DEK-Info):[^\r\n]*){0,4}(?:[ \t\r\n\\]*[A-Za-z0-9+/=]{16,}){1,60}(?:[A-Za-z0-9+/=\\\r\n]*(?:[\r\n]|$))?)?"
+)
 RULES = (
     Rule("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", True, 2, 8),
     Rule("access", r"AKIA[A-Z0-9]+", least=16),
     Rule("hex", r"[0-9a-f]{32,}", least=32),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("hub_token", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),

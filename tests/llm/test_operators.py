@@ -370,6 +370,29 @@ def test_redaction(spark):
     assert [tuple(r) for r in found] == [(1, "ü [secret] end", 14), (2, None, 0), (3, "clean", 5)]
 
 
+KEY_LINES = [base64.b64encode(bytes((7 * i + k) % 256 for k in range(48))).decode() for i in range(25)]
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+
+
+WHOLE_KEYS = [
+    ("\n".join([BEGIN, *KEY_LINES, "Q2k=", END]), "\nand more - text."),
+    ("\n".join([BEGIN, "Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *KEY_LINES, END]), " here"),
+    ("\\n".join([BEGIN, *KEY_LINES, END]), '", "other": 1'),
+    ("\n".join([BEGIN, *["-" + x for x in KEY_LINES], "-" + END]), "\nend"),
+    ("\n".join([BEGIN, *KEY_LINES, "Q2k=", ""]), "Some words follow."),
+    ("\n".join([BEGIN, *KEY_LINES]), ""),
+    (" ".join([BEGIN, *KEY_LINES]), " and so on."),
+    (BEGIN, " is the first line of a key."),
+    ("\n".join([BEGIN, *KEY_LINES * 1_000, ""]), "Words."),
+]
+
+
+def test_redaction_of_whole_keys(spark):
+    docs = spark.createDataFrame([(i, f"before {key}{after}") for i, (key, after) in enumerate(WHOLE_KEYS)], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in secret_scan.redact_secrets(docs).collect()}
+    assert found == {i: f"before [secret]{after}" for i, (_, after) in enumerate(WHOLE_KEYS)}
+
+
 # --- op9
 def test_leaks(spark):
     rng = random.Random(10)
