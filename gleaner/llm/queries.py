@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_extraction, lm_scoring, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filter
+from . import bpe, centroids, decontamination, html_extraction, lm_scoring, merkle, neighbours, ngram_join, quality_rules, secret_scan, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,18 @@ def op9(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 @query("op10_bpe", "documents")
 def op10(documents: DataFrame) -> DataFrame:
     return bpe.bpe_round_trip(documents, tokenizer_path()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.col("round_trip"))
+
+
+@query("op11_centroids", "embeddings", sql=centroids.oracle())
+def op11(embeddings: DataFrame) -> DataFrame:
+    return centroids.assign_clusters(embeddings)
+
+
+@query("op12_nearest_neighbours", "embeddings")
+def op12(embeddings: DataFrame) -> DataFrame:
+    return neighbours.nearest_neighbours(embeddings, every=50)
+
+
+@query("op13_merkle_manifest", "documents", sql=merkle.oracle())
+def op13(documents: DataFrame) -> DataFrame:
+    return merkle.merkle_manifest(documents)

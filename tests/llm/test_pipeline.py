@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
 
 
-@pytest.mark.parametrize("name", ["op5_sharding", "op7_ngram_jaccard", "op8_secret_scan"])
+@pytest.mark.parametrize("name", ["op5_sharding", "op7_ngram_jaccard", "op8_secret_scan", "op11_centroids", "op13_merkle_manifest"])
 def test_query(spark, name):
     con = duckdb.connect()
     for table in TABLES:
@@ -25,7 +25,7 @@ def test_query(spark, name):
 
 def test_every_corpus_query_is_registered():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_pipeline_stages(spark):
