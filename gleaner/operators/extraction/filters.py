@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ...functions.text import token_similarity
 from ...functions.urls import host_suffixes, url_host
+from .selectors import MAX_STEPS, compile_selector, flag_selectors, longest
 from .tree import attr, by_page, has_attr, inside, is_tag, subtree_sums, text_length, without
 
 # Containers that never hold the article.
@@ -39,6 +40,7 @@ VIDEO_HOSTS = (
 )
 AD_WORDS = "ad(vertising|vertisement)?|pub(licité)?|werb(ung)?|广告|Реклама|Anuncio"
 LOADING_WORDS = r"(loading|正在加载|Загрузка|chargement|cargando)(…|\.\.\.)?"
+# Element lists of the cleaning.
 BLOCK_CHILDREN = ["blockquote", "dl", "div", "img", "ol", "p", "pre", "table", "ul"]
 EMPTY_TAGS = ["div", "section", "header", "h1", "h2", "h3", "h4", "h5", "h6"]
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
@@ -51,11 +53,7 @@ MIN_ARTICLE_CHARS = 500
 # --- site rules -------------------------------------------------------------
 @dataclass(frozen=True)
 class SiteRule:
-    """Hints for one site: hosts, selectors of content, noise and metadata.
-
-    A selector is ``tag``, ``#id``, ``.class`` or ``[attr^="v"]`` or their
-    combination, optionally after one ancestor and a blank.
-    """
+    """Hints for one site: hosts, selectors of content, noise and metadata (see ``selectors``)."""
 
     rule_id: str
     hosts: list[str]
@@ -65,6 +63,10 @@ class SiteRule:
     author: str | None = None
     published_at: str | None = None
 
+    @property
+    def selectors(self) -> list[str]:
+        return [s for s in (*self.content, *self.remove, self.title, self.author, self.published_at) if s is not None]
+
 
 # The rule shipped by default.
 BUILTIN_RULES = [
@@ -81,7 +83,9 @@ RULES_DDL = (
 
 
 def register_rule(rules: list[SiteRule], rule: SiteRule) -> list[SiteRule]:
-    """Add a rule; an equal id takes the place of the earlier one."""
+    """Add a rule; an equal id takes the place of the earlier one. A selector that is not supported raises SelectorError."""
+    for selector in rule.selectors:
+        compile_selector(selector)
     if any(r.rule_id == rule.rule_id for r in rules):
         return [rule if r.rule_id == rule.rule_id else r for r in rules]
     return [*rules, rule]
@@ -96,6 +100,12 @@ def rules_frame(spark, rules: list[SiteRule]) -> DataFrame:
     return spark.createDataFrame(rows, RULES_DDL)
 
 
+def rule_steps(rules: DataFrame) -> int:
+    """Steps of the longest selector of the rules (a hand-written list)."""
+    texts = rules.select(F.explode(F.concat("content", "remove", F.array("title", "author", "published_at"))).alias("s")).distinct()
+    return longest([r["s"] for r in texts.filter("s IS NOT NULL").collect()])
+
+
 def match_site_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Adds the columns of the first registered rule whose host fits, else NULLs.
 
@@ -113,44 +123,7 @@ def match_site_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(hits, "page_id", "left")
 
 
-_COMPOUND = r"\A([A-Za-z0-9]*)((?:[#.][\w-]+)*)(?:\[([\w-]+)(?:([\^*$]?=)\"([^\"]*)\")?\])?\z"
-
-
-def matches_compound(selector: Column) -> Column:
-    """One compound selector against the node of the row."""
-    tag = F.lower(F.regexp_extract(selector, _COMPOUND, 1))
-    marks = F.regexp_extract_all(selector, F.lit(r"([#.][\w-]+)"), F.lit(1))
-    name, op, value = (F.regexp_extract(selector, _COMPOUND, k) for k in (3, 4, 5))
-    classes = F.split(attr("class"), r"\s+")
-    marks_ok = F.forall(
-        marks,
-        lambda m: F.when(F.startswith(m, F.lit("#")), attr("id") == F.substr(m, F.lit(2))).otherwise(
-            F.array_contains(classes, F.substr(m, F.lit(2)))
-        ),
-    )
-    given = F.try_element_at("attrs", name)
-    attr_ok = (
-        F.when(name == "", F.lit(True))
-        .when(given.isNull(), F.lit(False))
-        .when(op == "", F.lit(True))
-        .when(op == "=", given == value)
-        .when(op == "^=", F.startswith(given, value))
-        .when(op == "*=", F.contains(given, value))
-        .otherwise(F.endswith(given, value))
-    )
-    ok = selector.rlike(_COMPOUND) & (selector != "") & F.col("text").isNull() & ((tag == "") | (F.col("tag") == tag)) & marks_ok & attr_ok
-    return F.coalesce(ok, F.lit(False))
-
-
-def matches_selector(selector: Column) -> Column:
-    """Compound selector, or two of them joined by a blank (descendant)."""
-    parts = F.split(F.trim(selector), r"\s+")
-    last = matches_compound(F.element_at(parts, -1))
-    first_here = matches_compound(F.get(parts, F.lit(0)))
-    return F.when(F.size(parts) == 1, last).otherwise(last & inside(first_here, or_self=False))
-
-
-def remove_noise(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+def remove_noise(nodes: DataFrame, rules: DataFrame | None = None, steps: int = MAX_STEPS) -> DataFrame:
     """Drop navigation, ads, comments and the like; ``rules``: page_id, remove selectors."""
     css, ident = attr("class"), attr("id")
     noisy = is_tag(*NOISE_TAGS)
@@ -160,14 +133,13 @@ def remove_noise(nodes: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         noisy = noisy | F.contains(ident, F.lit(part))
     # The page's own html, head and body are rebuilt without attributes.
     clean = without(nodes, noisy & ~is_tag("html", "head", "body", "title", "meta", "link", "base"))
-    return clean if rules is None else remove_by_rules(clean, rules)
+    return clean if rules is None else remove_by_rules(clean, rules, steps)
 
 
-def remove_by_rules(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Drop what the site rule of a page lists (page_id, remove: compound selectors)."""
+def remove_by_rules(nodes: DataFrame, rules: DataFrame, steps: int = MAX_STEPS) -> DataFrame:
+    """Drop what the site rule of a page lists (page_id, remove: selectors)."""
     joined = nodes.join(rules.select("page_id", F.col("remove").alias("_remove")), "page_id", "left")
-    hit = F.coalesce(F.exists("_remove", matches_compound), F.lit(False))
-    return without(joined.withColumn("_hit", hit), F.col("_hit")).select(*nodes.columns)
+    return without(flag_selectors(joined, "_remove", steps), F.size("hits") > 0).select(*nodes.columns)
 
 
 # --- scoring helpers --------------------------------------------------------

@@ -9,10 +9,11 @@ from ...functions.quality import quality_report
 from ...functions.text import frontmatter_build
 from ...schemas import quality_rank
 from ...session import cut_lineage
-from .filters import match_site_rule, matches_selector, remove_by_rules, remove_noise
+from .filters import match_site_rule, remove_by_rules, remove_noise, rule_steps
 from .markdown import absolutize_links, to_markdown
 from .metadata import jsonld_metadata, page_metadata, rule_metadata
 from .scoring import main_content
+from .selectors import MAX_STEPS, flag_selectors
 from .tree import attr, html_tokens, inside, is_tag, subtree_sums, text_length
 
 # Engine ids and messages.
@@ -40,7 +41,7 @@ def full_page(nodes: DataFrame) -> DataFrame:
     return _inner_of_first(nodes, is_tag("body"))
 
 
-def rule_content(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+def rule_content(nodes: DataFrame, rules: DataFrame, steps: int = MAX_STEPS) -> DataFrame:
     """Content of the first site-rule selector whose first match has enough text.
 
     ``rules``: page_id, rule (struct with content selectors).  Pages without a
@@ -48,13 +49,9 @@ def rule_content(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     """
     chosen = rules.filter(F.size("rule.content") > 0).select("page_id", F.col("rule.content").alias("_selectors"))
     rows = subtree_sums(nodes.join(chosen, "page_id"), {"_len": text_length()})
-    each = rows.select("*", F.posexplode("_selectors").alias("_k", "_selector"))
-    # Windows inside the selector test run per page and selector.
-    hit = each.withColumn("_hit", matches_selector_of(F.col("_selector")))
-    by_selector = Window.partitionBy("page_id", "_k")
-    first = F.min(F.when(F.col("_hit"), F.col("pos"))).over(by_selector)
-    found = hit.withColumn("_first", first).filter((F.col("pos") == F.col("_first")) & (F.col("_len") >= MIN_RULE_CHARS))
-    best = found.groupBy("page_id").agg(F.min_by(F.struct("pos", "last"), "_k").alias("_at"))
+    found = flag_selectors(rows, "_selectors", steps).select("page_id", "pos", "last", "_len", F.explode("hits").alias("_k"))
+    first = found.groupBy("page_id", "_k").agg(F.min(F.struct("pos", "last", "_len")).alias("_at"))
+    best = first.filter(F.col("_at._len") >= MIN_RULE_CHARS).groupBy("page_id").agg(F.min_by("_at", "_k").alias("_at"))
     return (
         nodes.join(best, "page_id")
         .filter((F.col("pos") > F.col("_at.pos")) & (F.col("pos") <= F.col("_at.last")))
@@ -62,10 +59,6 @@ def rule_content(nodes: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def matches_selector_of(selector: Column) -> Column:
-    return F.coalesce(matches_selector(selector), F.lit(False))
-
-
 def _better(candidate: Column, primary: Column) -> Column:
     """Clearly more text, and not mostly links where the other one is not."""
     linky = (candidate["link_ratio"] > 60) & (F.coalesce(primary["link_ratio"], F.lit(0)) <= 60)
@@ -129,9 +122,10 @@ def extract_pages(
     """
     captured = captured_at if captured_at is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     matched = match_site_rule(pages, rules) if rules is not None else None
+    steps = rule_steps(rules) if rules is not None else 1
     raw = absolutize_links(html_tokens(pages), pages)
     removal = matched.select("page_id", F.col("rule.remove").alias("remove")) if matched is not None else None
-    clean = remove_noise(raw, removal)
+    clean = remove_noise(raw, removal, steps)
     article = jsonld_metadata(pages)
     if whole_page:
         chosen = with_quality(to_markdown(full_page(clean)), "primary", FULL_PAGE)
@@ -145,7 +139,7 @@ def extract_pages(
         again = to_markdown(semantic_content(clean.join(weak, "page_id", "left_semi")))
         parts = [primary, with_quality(again, "fallback", SEMANTIC)]
         if matched is not None:
-            ruled = rule_content(remove_by_rules(raw, removal), matched)
+            ruled = rule_content(remove_by_rules(raw, removal, steps), matched, steps)
             ids = matched.select("page_id", F.concat(F.lit(f"{RULE}:"), "rule.rule_id").alias("rule_engine"))
             parts.append(with_quality(to_markdown(ruled).join(ids, "page_id"), "rule", F.col("rule_engine")))
         rows = parts[0]
@@ -165,7 +159,7 @@ def extract_pages(
     )
     meta = page_metadata(pages, engine)
     if matched is not None:
-        meta = rule_metadata(meta, raw, matched)
+        meta = rule_metadata(meta, raw, matched, steps)
     out = meta.join(chosen, "page_id", "left").withColumn("captured_at", captured)
     ok = F.coalesce(F.trim("markdown") != "", F.lit(False))
     header = frontmatter_build(

@@ -4,6 +4,7 @@ from gleaner.operators.extraction import filters as fl
 from gleaner.operators.extraction import markdown as mk
 from gleaner.operators.extraction import pages as pg
 from gleaner.operators.extraction import tree as tr
+from gleaner.operators.extraction.selectors import flag_selectors
 
 PAGE = "page_id long, url string, html string"
 
@@ -76,11 +77,12 @@ def test_noise_and_selectors(spark):
     assert left == ["s", "t"]
 
     def hits(selector):
-        flagged = nodes.withColumn("hit", fl.matches_selector(F.lit(selector)))
-        return [r.tag for r in flagged.filter("hit").orderBy("pos").collect()]
+        flagged = flag_selectors(nodes.withColumn("s", F.array(F.lit(selector))), "s")
+        return [r.tag for r in flagged.filter("size(hits) > 0").orderBy("pos").collect()]
 
     assert hits("#x") == ["div"] and hits(".k") == ["span", "p"] and hits("p.k") == ["p"]
     assert hits('span[title^="von"]') == ["span"] and hits("#x .m") == ["span"] and hits("nav .k") == []
+    assert hits("div > span, body > p") == ["span", "p"] and hits("body > span") == [] and hits("div + div ~ p.k") == ["p"]
 
 
 def test_extraction_of_pages(spark):
