@@ -25,10 +25,10 @@ def rules(t: Inputs) -> DataFrame:
     listed = list(fl.BUILTIN_RULES)
     for rule in [
         fl.SiteRule("shop", ["cheap-pills.example.com"], ["main"]),
-        fl.SiteRule("org", ["example.org"], ["article"], [".ad"], "h1"),
-        fl.SiteRule("blog", ["blog.therst.example.net", "example.net"], ["#missing", "article"], ["nav"]),
-        fl.SiteRule("late", ["org"], ["body"]),
-        fl.SiteRule("shop", ["example.com"], ["div.ad", "article"], [], "title"),
+        fl.SiteRule("org", ["example.org"], ["article"], [".ad", "nav > ul > li:nth-child(n+2)"], "body > article > h1:first-child"),
+        fl.SiteRule("blog", ["blog.therst.example.net", "example.net"], ["#missing, body > p", "article"], ["nav"]),
+        fl.SiteRule("late", ["org"], ["html > body > nav ~ article"]),
+        fl.SiteRule("shop", ["example.com"], ["div > article", "div.ad + article"], ["li + li > a[href^='/']"], "head > title:last-child"),
     ]:
         listed = fl.register_rule(listed, rule)
     return fl.rules_frame(t.spark, listed)
@@ -95,10 +95,11 @@ def _(t):
     return nodes(t).select("page_id", "pos", "parent", "last", "depth", "tag", "text")
 
 
-# The links of a page sit in its navigation, its links' items and their list.
 @query(
     "parent_element",
-    "SELECT page_id, CAST(pos - 1 AS INT) AS link_no, 'li' AS parent, 'ul' AS grandparent FROM (" + _LINKS + ")",
+    f"""WITH n AS MATERIALIZED ({_NODES_SQL})
+        SELECT a.page_id, CAST(row_number() OVER (PARTITION BY a.page_id ORDER BY a.pos) - 1 AS INT) AS link_no, p.tag AS parent, g.tag AS grandparent
+        FROM n a JOIN n p ON a.page_id = p.page_id AND a.parent = p.pos JOIN n g ON p.page_id = g.page_id AND p.parent = g.pos WHERE a.tag = 'a'""",
 )
 def _(t):
     rows = nodes(t)
@@ -109,17 +110,30 @@ def _(t):
     return numbered.join(names, ["page_id", "up"]).select("page_id", "link_no", "parent", "grandparent")
 
 
+_LETTERS = "regexp_replace(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&[a-zA-Z]+;', '', 'g'), '[^A-Za-z]', '', 'g')"
+_BARE = "regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!.*?>', '', 'gs')"
+_ANCHORS = f"CAST(len(regexp_extract_all({_BARE}, '<a ')) AS BIGINT)"
+
+
 @query(
     "remove_noise",
-    """SELECT page_id, 0::BIGINT AS links, CAST(len(regexp_extract_all(html, '<article')) AS BIGINT) AS articles, 0::BIGINT AS footers,
-              CAST(len(regexp_extract_all(html, '<div class="ad"')) AS BIGINT) AS ad_boxes FROM pages""",
+    f"""SELECT page_id, 0::BIGINT AS links, CAST(len(regexp_extract_all(html, '<article')) AS BIGINT) AS articles, 0::BIGINT AS footers,
+              CAST(len(regexp_extract_all(html, '<div class="ad"')) AS BIGINT) AS ad_boxes,
+              {_LETTERS.format(x=f"regexp_replace({_BARE}, '<nav>.*?</nav>|<footer>.*?</footer>', '', 'gs')")} AS letters,
+              CASE rule WHEN 'org' THEN least(anchors, 1) WHEN 'shop' THEN least(anchors, 1) WHEN 'blog' THEN 0 ELSE anchors END AS links_by_rule
+       FROM (SELECT *, {_RULE} AS rule, {_ANCHORS} AS anchors FROM pages)""",
 )
 def _(t):
     tag = F.col("tag")
-    return clean_nodes(t).groupBy("page_id").agg(
+    clean = clean_nodes(t)
+    left = clean.groupBy("page_id").agg(
         F.count_if(tag == "a").alias("links"), F.count_if(tag == "article").alias("articles"),
         F.count_if(tag == "footer").alias("footers"), F.count_if((tag == "div") & (tr.attr("class") == "ad")).alias("ad_boxes"),
-    )
+    ).join(tr.inner_text(clean, ["page_id"]), "page_id").withColumn("letters", F.regexp_replace("inner_text", "[^A-Za-z]", "")).drop("inner_text")
+    listed = rules(t)
+    removal = fl.match_site_rule(t.pages, listed).select("page_id", F.col("rule.remove").alias("remove"))
+    ruled = fl.remove_by_rules(nodes(t), removal, fl.rule_steps(listed))
+    return left.join(ruled.groupBy("page_id").agg(F.count_if(tag == "a").alias("links_by_rule")), "page_id")
 
 
 @query(
@@ -283,30 +297,43 @@ def _(t):
     return heads.join(joined, "page_id").select("page_id", "headings", F.regexp_replace("inner_text", "[^A-Za-z]", "").alias("letters"))
 
 
-@query("full_page", "SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(html, '(?s)<script.*?</script>', '', 'g'), '<a ')) AS BIGINT) AS links FROM pages")
+@query(
+    "full_page",
+    f"SELECT page_id, {_ANCHORS} AS links, {_LETTERS.format(x=f"regexp_replace({_BARE}, '<head>.*?</head>', '', 's')")} AS letters FROM pages",
+)
 def _(t):
-    return pg.full_page(nodes(t)).groupBy("page_id").agg(F.count_if(F.col("tag") == "a").alias("links"))
+    rows = pg.full_page(nodes(t))
+    links = rows.groupBy("page_id").agg(F.count_if(F.col("tag") == "a").alias("links"))
+    return links.join(tr.inner_text(rows, ["page_id"]), "page_id").select("page_id", "links", F.regexp_replace("inner_text", "[^A-Za-z]", "").alias("letters"))
+
+
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
 
 
 @query(
     "rule_content",
-    f"SELECT page_id, 1::BIGINT AS headings FROM pages WHERE {_RULE} IS NOT NULL AND length(trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', '', 'g'))) >= 100",
+    f"""SELECT page_id, CAST(len(regexp_extract_all({_ARTICLE}, '<h1')) AS BIGINT) AS headings, {_LETTERS.format(x=_ARTICLE)} AS letters
+        FROM pages WHERE {_RULE} IS NOT NULL AND length(trim(regexp_replace({_ARTICLE}, '<[^>]*>', '', 'g'))) >= 100""",
 )
 def _(t):
-    matched = fl.match_site_rule(t.pages, rules(t))
+    listed = rules(t)
+    matched, steps = fl.match_site_rule(t.pages, listed), fl.rule_steps(listed)
     removal = matched.select("page_id", F.col("rule.remove").alias("remove"))
-    rows = pg.rule_content(fl.remove_by_rules(nodes(t), removal), matched)
-    return rows.groupBy("page_id").agg(F.count_if(F.col("tag") == "h1").alias("headings"))
+    rows = pg.rule_content(fl.remove_by_rules(nodes(t), removal, steps), matched, steps)
+    heads = rows.groupBy("page_id").agg(F.count_if(F.col("tag") == "h1").alias("headings"))
+    return heads.join(tr.inner_text(rows, ["page_id"]), "page_id").select("page_id", "headings", F.regexp_replace("inner_text", "[^A-Za-z]", "").alias("letters"))
 
 
 @query(
     "rule_metadata",
-    f"""SELECT page_id, CASE WHEN {_RULE} = 'org' AND length(h) < 200 AND h <> '' THEN h ELSE title END AS title
-        FROM (SELECT page_id, url, trim(regexp_extract(x, '<title>([^<]*)</title>', 1)) AS title, trim(regexp_extract(x, '<h1[^>]*>([^<]*)</h1>', 1)) AS h FROM (SELECT page_id, url, replace(html, '&amp;', '&') AS x FROM pages))""",
+    f"""SELECT page_id, source, CASE WHEN {_RULE} = 'org' AND length(h) < 200 AND h <> '' THEN h ELSE title END AS title, author, language
+        FROM (SELECT page_id, url, url AS source, trim(regexp_extract(x, '<title>([^<]*)</title>', 1)) AS title, trim(regexp_extract(x, '<h1[^>]*>([^<]*)</h1>', 1)) AS h,
+                CAST(NULL AS VARCHAR) AS author, nullif(regexp_extract(x, '<html lang="([^"]*)"', 1), '') AS language FROM (SELECT page_id, url, replace(html, '&amp;', '&') AS x FROM pages))""",
 )
 def _(t):
-    matched = fl.match_site_rule(t.pages, rules(t))
-    return mt.rule_metadata(mt.page_metadata(t.pages), nodes(t), matched).select("page_id", "title")
+    listed = rules(t)
+    matched = fl.match_site_rule(t.pages, listed)
+    return mt.rule_metadata(mt.page_metadata(t.pages), nodes(t), matched, fl.rule_steps(listed)).select("page_id", "source", "title", "author", "language")
 
 
 @query("to_markdown")
