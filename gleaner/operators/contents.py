@@ -72,9 +72,16 @@ def match_existing(captures: DataFrame, contents: DataFrame) -> DataFrame:
 
     Two equi joins instead of one join on an OR condition.  ``captures`` carry
     the normalized ``canonical_url``; only key columns of ``contents`` are read.
+    Each identity is one row before it is joined, the newest content, so that
+    contents stored twice never multiply a capture.
     """
-    by_id = contents.select("capture_id", F.col("content_id").alias("id_match"))
-    by_url = contents.select("source_type", "canonical_url", F.col("content_id").alias("url_match"))
+    if "created_at" in contents.columns:
+        order = F.struct(-F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 62))), "content_id")
+        newest = F.min_by("content_id", order)
+    else:
+        newest = F.min("content_id")
+    by_id = contents.filter("capture_id IS NOT NULL").groupBy("capture_id").agg(newest.alias("id_match"))
+    by_url = contents.filter("canonical_url IS NOT NULL").groupBy("source_type", "canonical_url").agg(newest.alias("url_match"))
     return (
         captures.join(by_id, "capture_id", "left")
         .join(by_url, ["source_type", "canonical_url"], "left")
@@ -94,6 +101,15 @@ def new_content_id(source_type: Column, url: Column) -> Column:
 _LATEST = ["source_type", "source_url", "canonical_url", "title", "author", "markdown", "capture_quality"]
 
 
+def latest_columns(*tables: DataFrame) -> list[str]:
+    """What the last capture of a page supplies: also the whole envelope where one of the tables keeps it."""
+    return [*_LATEST, *["payload"] * any("payload" in t.columns for t in tables)]
+
+
+def with_payload(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumn("payload", F.lit(None).cast("string")) if "payload" in columns and "payload" not in df.columns else df
+
+
 def resolve_captures(captures: DataFrame, contents: DataFrame) -> DataFrame:
     """Collapse a batch of captures to one row per content.
 
@@ -103,13 +119,14 @@ def resolve_captures(captures: DataFrame, contents: DataFrame) -> DataFrame:
     Captures of one moment are ordered by their column ``arrival``, if there is
     one, and by a hash of what they say, so that the result never depends on the run.
     """
+    latest = latest_columns(captures, contents)
     accepted = F.col("capture_quality") != "failed"
-    keyed = captures.withColumn("canonical_url", identity_url())
+    keyed = with_payload(captures, latest).withColumn("canonical_url", identity_url())
     arrival = F.col("arrival") if "arrival" in captures.columns else F.lit("")
-    keyed = keyed.withColumn("arrival", F.struct(arrival.alias("order"), F.xxhash64(*_LATEST).alias("tie")))
+    keyed = keyed.withColumn("arrival", F.struct(arrival.alias("order"), F.xxhash64(*latest).alias("tie")))
     position = F.struct("captured_at", "arrival")
     per_id = keyed.groupBy("capture_id").agg(
-        F.max_by(F.struct(*_LATEST, "captured_at", "arrival"), position).alias("last"),
+        F.max_by(F.struct(*latest, "captured_at", "arrival"), position).alias("last"),
         F.min_by(
             F.when(accepted, F.struct("capture_id", "capture_mode", "captured_at", "arrival")),
             F.when(accepted, position),
@@ -139,18 +156,20 @@ def upsert_captures(captures: DataFrame, contents: DataFrame) -> dict[str, DataF
     """Merge a batch into the contents.
 
     Returns the new snapshot, and the contents, analyses and jobs to append for
-    captures that are new.  Existing contents keep id, capture id, mode and
+    captures that are new.  The envelope of the last capture (``payload``) replaces the one before.  Existing contents keep id, capture id, mode and
     creation time; a failed re-capture overwrites too, as only new ones are refused.
     """
     resolved = resolve_captures(captures, contents)
     updates = resolved.filter("exists").select("content_id", F.col("latest").alias("u"))
-    columns = ["content_id", "capture_id", *_LATEST, "capture_mode", "created_at", "updated_at"]
+    latest = latest_columns(captures, contents)
+    contents = with_payload(contents, latest)
+    columns = ["content_id", "capture_id", *latest, "capture_mode", "created_at", "updated_at"]
     kept = contents.join(updates, "content_id", "left")
     changed = F.col("u").isNotNull()
     updated = kept.select(
         "content_id",
         "capture_id",
-        *[F.when(changed, F.col(f"u.{c}")).otherwise(contents[c]).alias(c) for c in _LATEST],
+        *[F.when(changed, F.col(f"u.{c}")).otherwise(contents[c]).alias(c) for c in latest],
         "capture_mode",
         "created_at",
         F.when(changed, F.col("u.captured_at")).otherwise(contents["updated_at"]).alias("updated_at"),
@@ -158,13 +177,24 @@ def upsert_captures(captures: DataFrame, contents: DataFrame) -> dict[str, DataF
     new = resolved.filter(~F.col("exists")).select(
         "content_id",
         F.col("first.capture_id").alias("capture_id"),
-        *[F.col(f"latest.{c}").alias(c) for c in _LATEST],
+        *[F.col(f"latest.{c}").alias(c) for c in latest],
         F.col("first.capture_mode").alias("capture_mode"),
         F.col("first.captured_at").alias("created_at"),
         F.col("latest.captured_at").alias("updated_at"),
     )
+    analyses, jobs = opening_work(new)
+    return {
+        "contents": updated.select(*columns).unionByName(new.select(*columns)),
+        "new_contents": new.select(*columns),
+        "new_analyses": analyses,
+        "new_jobs": jobs,
+    }
+
+
+def opening_work(new_contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The analysis and the job that every new content starts with."""
     analysis_id = F.sha2(F.concat(F.lit("analysis|"), F.col("content_id")), 256)
-    analyses = new.select(
+    analyses = new_contents.select(
         analysis_id.alias("analysis_id"), "content_id", F.lit("pending").alias("status"), "created_at"
     )
     jobs = analyses.select(
@@ -172,12 +202,7 @@ def upsert_captures(captures: DataFrame, contents: DataFrame) -> dict[str, DataF
         "analysis_id", F.lit("triage").alias("stage"), F.lit("pending").alias("status"),
         F.lit(0).alias("attempts"), F.lit(None).cast("timestamp").alias("immediate_requested_at"), "created_at",
     )
-    return {
-        "contents": updated.select(*columns).unionByName(new.select(*columns)),
-        "new_contents": new.select(*columns),
-        "new_analyses": analyses,
-        "new_jobs": jobs,
-    }
+    return analyses, jobs
 
 
 def integrity_report(contents: DataFrame, analyses: DataFrame, jobs: DataFrame, feedback: DataFrame | None = None) -> DataFrame:

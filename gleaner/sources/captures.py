@@ -50,10 +50,25 @@ def flatten_captures(parsed: DataFrame) -> DataFrame:
         e["document"]["text"].alias("markdown"),
         F.coalesce(e["capture"]["mode"], F.lit("manual")).alias("capture_mode"),
         e["capture"]["quality"]["level"].alias("capture_quality"),
+        F.to_json(e).alias("payload"),
         *[c for c in parsed.columns if c not in ("envelope", "corrupt")],
     )
 
 
+def capture_extractions(extractions: DataFrame) -> DataFrame:
+    """Capture lines (value, captured_at) of the extraction rows that have a text.
+
+    The capture id follows from the page's address and the time of the capture, so
+    a job that runs again captures nothing twice. A capture keeps the time of its extraction.
+    """
+    rows = extractions.filter("ok")
+    envelope = build_capture(
+        F.sha2(F.concat_ws("|", "url", "captured_at"), 256).alias("capture_id"), F.col("url"), F.substring("title", 1, 1000), F.col("author"),
+        F.col("markdown"), F.col("level"), F.col("warnings"), F.col("engine_id"),
+    )
+    return rows.select("page_id", envelope.alias("value"), F.col("captured_at").cast("timestamp").alias("captured_at"))
+
+
 def build_capture(
     capture_id: Column, url: Column, title: Column, author: Column, markdown: Column, level: Column,
     warnings: Column, engine: Column, producer: str = "gleaner-web", producer_version: str = "1.0.0",

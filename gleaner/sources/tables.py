@@ -49,9 +49,3 @@ def current_version(spark: SparkSession, path: str) -> int | None:
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
     version = current_version(spark, path)
     return None if version is None else spark.read.parquet(f"{path}/version={version:012d}")
-
-
-def write_contents(df: DataFrame, path: str) -> str:
-    """Store the current-snapshot table after an upsert."""
-    version = current_version(df.sparkSession, path)
-    return write_snapshot(df, path, 1 if version is None else version + 1)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import source_hash
-from ..operators.contents import upsert_captures, validate_capture
-from ..sources.captures import flatten_captures, parse_captures
-from ..sources.tables import complete_numbers, read_snapshot, write_contents
+from ..operators.contents import identity_url, opening_work, upsert_captures, validate_capture
+from ..operators.extraction.pages import extract_pages
+from ..session import cut_lineage
+from ..sources.captures import capture_extractions, flatten_captures, parse_captures
+from ..sources.store import Manifest, append, bucket, commit, read_appended, read_buckets, read_manifest, write_buckets
+from ..sources.tables import complete_numbers
 
 CAPTURE_COLUMNS = [
     "capture_id", "source_type", "source_url", "canonical_url", "title", "author", "markdown", "capture_mode",
-    "capture_quality", "captured_at", "arrival",
+    "capture_quality", "payload", "captured_at", "arrival",
 ]
 
 
@@ -33,12 +36,9 @@ def capture_stream(
         F.concat_ws("|", F.date_format("_metadata.file_modification_time", "yyyyMMddHHmmssSSS"), "_metadata.file_path", digest).alias("arrival"),
     )
     checked = validate_capture(parse_captures(lines))
-    keyed = (
-        checked.withColumn("_line", F.when(F.size("violations") == 0, F.col("_hash")).otherwise(F.uuid()))
-        .withWatermark("captured_at", watermark)
-        .dropDuplicatesWithinWatermark(["_line"])
-        .drop("_line", "_hash")
-    )
+    # Refused lines go past the deduplication: they are all kept and leave nothing in its state.
+    good = checked.filter(F.size("violations") == 0).withWatermark("captured_at", watermark).dropDuplicatesWithinWatermark(["_hash"])
+    keyed = good.unionByName(checked.filter(F.size("violations") > 0)).drop("_hash")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
@@ -60,34 +60,80 @@ def capture_stream(
     )
 
 
-EMPTY_CONTENTS = (
+CONTENTS = (
     "content_id string, capture_id string, source_type string, source_url string, canonical_url string, title string, "
-    "author string, markdown string, capture_quality string, capture_mode string, created_at timestamp, updated_at timestamp"
+    "author string, markdown string, capture_quality string, payload string, capture_mode string, created_at timestamp, updated_at timestamp"
+)
+CAPTURE_IDS = "capture_id string, home int"
+ANALYSES = "analysis_id string, content_id string, status string, created_at timestamp"
+JOBS = (
+    "job_id string, analysis_id string, stage string, status string, attempts int, immediate_requested_at timestamp, created_at timestamp"
 )
 
 
-def compact_captures(
-    spark: SparkSession, log: str, contents: str, after_batch: int = -1, analyses: str | None = None, jobs: str | None = None
-) -> str:
-    """Fold logged captures into a new version of the contents, and of the analyses and jobs where their folders are given.
+def fold_captures(spark: SparkSession, log: str, store: str, buckets: int = 64) -> Manifest:
+    """Merge the logged batches that the store does not hold yet; returns the manifest that is current then.
+
+    Contents lie in buckets of their page identity. A second table, in buckets of the
+    capture id, names the bucket in which a capture's content lives. A merge opens and
+    rewrites the buckets of the captured pages and ids only. Contents, ids, new analyses
+    and jobs and the number of the last batch become current in one commit, so nothing is
+    half folded after a failure, and a batch is never folded twice.
+    """
+    held = read_manifest(spark, store, buckets)
+    numbers = [n for n in complete_numbers(spark, log, "batch") if n > held.folded]
+    if not numbers:
+        return held
+    logged = spark.read.parquet(*[f"{log}/batch={n:012d}" for n in numbers])
+    return merge_captures(logged, store, held, numbers[-1])
+
+
+def merge_captures(captures: DataFrame, store: str, held: Manifest, folded: int) -> Manifest:
+    """One merge of captures into the store over the manifest ``held``."""
+    spark, count = captures.sparkSession, held.count
+    page, id_bucket = bucket(count, "source_type", "canonical_url"), bucket(count, "capture_id")
+    keys = captures.select("capture_id", "source_type", identity_url().alias("canonical_url")).select("capture_id", page.alias("page"), id_bucket.alias("ids"))
+    # At most ``count`` numbers each.
+    ids = {r[0] for r in keys.select("ids").distinct().collect()}
+    known = read_buckets(spark, store, held, "capture_ids", CAPTURE_IDS, ids)
+    homes = {r[0] for r in known.join(keys.select("capture_id"), "capture_id", "left_semi").select("home").distinct().collect()}
+    pages = homes | {r[0] for r in keys.select("page").distinct().collect()}
+    current = read_buckets(spark, store, held, "contents", CONTENTS, pages)
+    merged = upsert_captures(captures, current)["contents"]
+    filled = write_buckets(merged, store, held, "contents", page)
+    written = read_buckets(spark, store, Manifest(held.version + 1, count, {"contents": dict.fromkeys(filled, held.version + 1)}), "contents", CONTENTS)
+
+    placed = written.select("capture_id", page.alias("home")).filter(id_bucket.isin(sorted(ids)))
+    placed = placed.groupBy("capture_id").agg(F.max("home").alias("home"))
+    index = known.join(placed, "capture_id", "left_anti").unionByName(placed)
+    filled_ids = write_buckets(index, store, held, "capture_ids", id_bucket)
+    analyses, jobs = opening_work(written.join(current.select("content_id"), "content_id", "left_anti"))
+    appended = [append(analyses, store, held, "analyses"), append(jobs, store, held, "jobs")]
+    after = held.after(folded, {"contents": (pages, filled), "capture_ids": (ids, filled_ids)}, appended)
+    commit(spark, store, after)
+    return after
 
-    Only batches written to the end are read.  The contents come last: their ids,
-    and those of the analyses and jobs, follow from the page, so a job that failed
-    half-way can run again.
 
-    The stream only appends; this job merges many batches at once, so the
-    contents are not rewritten for every micro-batch.  Folding the same captures
-    twice gives the same contents.
+def read_contents(spark: SparkSession, store: str) -> DataFrame:
+    return read_buckets(spark, store, read_manifest(spark, store), "contents", CONTENTS)
+
+
+def read_opened(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
+    """Analyses and jobs as they were opened, one for each content."""
+    held = read_manifest(spark, store)
+    return read_appended(spark, store, held, "analyses", ANALYSES), read_appended(spark, store, held, "jobs", JOBS)
+
+
+def capture_pages(
+    pages: DataFrame, contents: DataFrame, rules: DataFrame | None = None, captured_at: Column | None = None
+) -> dict[str, DataFrame]:
+    """Pages → extraction → envelopes → contract check → contents, as one job.
+
+    Gives what ``upsert_captures`` gives, and ``refused``: envelopes that break the
+    contract, with their violations. Pages without a text are no captures.
     """
-    batches = [f"{log}/batch={n:012d}" for n in complete_numbers(spark, log, "batch") if n > after_batch]
-    current = read_snapshot(spark, contents)
-    if current is None:
-        current = spark.createDataFrame([], EMPTY_CONTENTS)
-    if not batches:
-        return write_contents(current, contents)
-    merged = upsert_captures(spark.read.parquet(*batches), current)
-    for path, new, key in ((analyses, merged["new_analyses"], "analysis_id"), (jobs, merged["new_jobs"], "job_id")):
-        if path is not None:
-            known = read_snapshot(spark, path)
-            write_contents(new if known is None else known.unionByName(new.join(known.select(key), key, "left_anti"), allowMissingColumns=True), path)
-    return write_contents(merged["contents"], contents)
+    lines = cut_lineage(capture_extractions(extract_pages(pages, rules, captured_at)))  # extraction is dear, and read twice
+    checked = validate_capture(parse_captures(lines))
+    good = flatten_captures(checked.filter(F.size("violations") == 0).drop("violations"))
+    refused = checked.filter(F.size("violations") > 0).select("page_id", F.coalesce("corrupt", F.to_json("envelope")).alias("line"), "violations")
+    return upsert_captures(good, contents) | {"refused": refused}

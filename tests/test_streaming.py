@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import markdown as md
 from gleaner.schemas import CAPTURE_SCHEMA_VERSION
-from gleaner.sources.tables import current_version, read_snapshot
+from gleaner.sources.tables import read_snapshot
 from gleaner.streaming import calibration, captures, stages, translation
 
 # The providers below live in this file, which the workers cannot import.
@@ -47,25 +47,26 @@ def test_capture_feed(spark, folder):
     captures.capture_stream(spark, source, log, bad, ckpt).awaitTermination()
     assert spark.read.parquet(log).count() == 2
     assert spark.read.parquet(bad).count() == 2
-    captures.compact_captures(spark, log, contents)
-    rows = {r.canonical_url: r for r in read_snapshot(spark, contents).collect()}
+    captures.fold_captures(spark, log, contents)
+    rows = {r.canonical_url: r for r in captures.read_contents(spark, contents).collect()}
     assert set(rows) == {"https://e.org/a"}, "a failed new capture is refused"
     first_id = rows["https://e.org/a"].content_id
 
     # The same page under another id and address updates the content, also when it failed.
     write_lines(source, "2.txt", [envelope("capture-9", "https://e.org/a/?from=inbox#top", "newer", "failed")])
     captures.capture_stream(spark, source, log, bad, ckpt).awaitTermination()
-    captures.compact_captures(spark, log, contents, after_batch=0)
-    (row,) = read_snapshot(spark, contents).collect()
+    captures.fold_captures(spark, log, contents)
+    (row,) = captures.read_contents(spark, contents).collect()
     assert (row.content_id, row.capture_id, row.markdown, row.capture_quality) == (first_id, "capture-1", "newer", "failed")
-    # Folding everything again changes nothing.
-    captures.compact_captures(spark, log, contents)
-    assert read_snapshot(spark, contents).select("content_id", "markdown").collect() == [(first_id, "newer")]
-    assert current_version(spark, contents) == 3
+    assert json.loads(row.payload)["document"]["text"] == "newer", "the envelope is replaced with the text"
+    # Nothing new to fold: no new version.
+    held = captures.fold_captures(spark, log, contents)
+    assert captures.read_contents(spark, contents).select("content_id", "markdown").collect() == [(first_id, "newer")]
+    assert held.version == 2
 
 
 def test_capture_feed_keeps_changes_and_refused_lines(spark, folder):
-    source, log, bad, ckpt, contents, analyses, jobs = (f"{folder}/{n}" for n in ("in", "log", "bad", "ckpt", "contents", "analyses", "jobs"))
+    source, log, bad, ckpt, contents = (f"{folder}/{n}" for n in ("in", "log", "bad", "ckpt", "contents"))
     line = envelope("capture-1", "https://e.org/a", "one")
     write_lines(source, "1.txt", [line, line, envelope("capture-2", "https://e.org/b", "two"), "{broken", "{broken", "[]"])
     captures.capture_stream(spark, source, log, bad, ckpt).awaitTermination()
@@ -77,11 +78,11 @@ def test_capture_feed_keeps_changes_and_refused_lines(spark, folder):
     os.makedirs(f"{log}/batch=000000000099")  # a batch that was never finished
     seen = []
     for _ in range(2):
-        captures.compact_captures(spark, log, contents, analyses=analyses, jobs=jobs)
-        stored = read_snapshot(spark, contents).orderBy("canonical_url")
+        captures.fold_captures(spark, log, contents)
+        stored = captures.read_contents(spark, contents).orderBy("canonical_url")
         seen.append([(r.title, r.markdown) for r in stored.collect()])
-        ids = read_snapshot(spark, analyses).join(stored, "content_id").count()
-        assert (ids, read_snapshot(spark, jobs).count()) == (2, 2)
+        analyses, jobs = captures.read_opened(spark, contents)
+        assert (analyses.join(stored, "content_id").count(), jobs.join(analyses, "analysis_id").count()) == (2, 2)
     assert seen[0] == seen[1] == [("New", "one"), ("T", "two")]
 
 
@@ -91,8 +92,8 @@ def test_two_versions_of_one_capture_in_one_batch(spark, folder):
         write_lines(source, f"{number}.txt", [envelope("capture-1", "https://e.org/a", text)])
         os.utime(f"{source}/{number}.txt", (1_700_000_000 + number,) * 2)
     captures.capture_stream(spark, source, log, bad, ckpt).awaitTermination()
-    captures.compact_captures(spark, log, contents)
-    assert [r.markdown for r in read_snapshot(spark, contents).collect()] == ["newer"]
+    captures.fold_captures(spark, log, contents)
+    assert [r.markdown for r in captures.read_contents(spark, contents).collect()] == ["newer"]
 
 
 def test_late_event_is_noted(spark, folder):
