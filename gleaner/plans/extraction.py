@@ -12,8 +12,11 @@ from ..operators.extraction import metadata as mt
 from ..operators.extraction import pages as pg
 from ..operators.extraction import scoring as so
 from ..operators.extraction import tree as tr
+from ..functions.text import strip_frontmatter
+from ..operators import contents as ct
 from ..sources import captures as cap
 from ..sources import exports as ex
+from ..streaming import captures as feed
 from .inputs import Inputs, query
 from .text import _ABSOLUTE, _LINKS, _UNESCAPE, hashed
 
@@ -420,3 +423,40 @@ def _(t):
         F.array(F.lit("w")), F.lit("readability"),
     )
     return t.v_contents.select("content_id", hashed(envelope).alias("envelope"))
+
+
+# Every fourth page is not captured again. A stored page keeps its id and its first capture.
+_STORED_PAGES = """SELECT 'k-' || page_id AS content_id, 'stored-' || page_id AS capture_id, norm, page_id FROM pages JOIN o_page_urls USING (url) WHERE page_id % 3 = 0
+    QUALIFY row_number() OVER (PARTITION BY norm ORDER BY page_id DESC) = 1"""
+_AGAIN = f"""SELECT norm, arg_max(letters, page_id) || 'second' AS letters, arg_min(url, page_id) AS first_url, min(page_id) AS first_page, max(page_id) AS last_page
+    FROM (SELECT page_id, url, norm, {_LETTERS.format(x=f"regexp_replace({_BARE}, '<head>.*?</head>|<nav>.*?</nav>|<footer>.*?</footer>', '', 'gs')")} AS letters
+          FROM pages JOIN o_page_urls USING (url) WHERE page_id % 4 <> 1) GROUP BY norm"""
+_MOMENT = "strftime(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(CAST({n} AS INTEGER)), '%Y-%m-%dT%H:%M:00.000Z')"
+
+
+@query(
+    "ingest_pages",
+    f"""SELECT coalesce(s.content_id, sha256('web|' || a.norm)) AS content_id, coalesce(s.capture_id, sha256(a.first_url || '|' || {_MOMENT.format(n="2 * a.first_page")})) AS capture_id,
+               coalesce(a.norm, s.norm) AS canonical_url, coalesce(a.letters, 'old') AS letters, a.norm IS NOT NULL AS envelope_is_new,
+               coalesce({_MOMENT.format(n="2 * a.last_page + 1")}, '2023-01-01T00:00:00.000Z') AS updated
+        FROM ({_AGAIN}) a FULL JOIN ({_STORED_PAGES}) s ON a.norm = s.norm""",
+)
+def _(t):
+    n = F.col("page_id")
+    stored = t.pages.filter(n % 3 == 0).select(
+        F.concat(F.lit("k-"), n.cast("string")).alias("content_id"), F.concat(F.lit("stored-"), n.cast("string")).alias("capture_id"), F.lit("web").alias("source_type"),
+        F.col("url").alias("source_url"), F.lit(None).cast("string").alias("canonical_url"), F.lit("T").alias("title"), F.lit(None).cast("string").alias("author"),
+        F.lit("old").alias("markdown"), F.lit("good").alias("capture_quality"), F.lit("{}").alias("payload"), F.lit("manual").alias("capture_mode"),
+        F.timestamp_seconds(F.lit(1_600_000_000) + n).alias("created_at"), F.to_timestamp(F.lit("2023-01-01 00:00:00")).alias("updated_at"),
+    )
+    # Two captures of each page, the second one longer and later.
+    twice = t.pages.filter(n % 4 != 1).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "*").select(
+        (n * 2 + F.col("k")).alias("page_id"), "url", F.when(F.col("k") == 0, F.col("html")).otherwise(F.replace("html", F.lit("</article>"), F.lit("<p>second</p></article>"))).alias("html")
+    )
+    moment = F.date_format(F.timestamp_seconds(F.lit(1_704_067_200) + n * 60), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    rows = feed.capture_pages(twice, ct.dedupe_contents(stored), captured_at=moment, whole_page=True)["contents"]
+    text = F.get_json_object("payload", "$.document.text")
+    return rows.select(
+        "content_id", "capture_id", "canonical_url", F.regexp_replace(strip_frontmatter(F.col("markdown")), "[^A-Za-z]", "").alias("letters"),
+        F.coalesce(text == F.col("markdown"), F.lit(False)).alias("envelope_is_new"), F.date_format("updated_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("updated"),
+    )

@@ -125,14 +125,14 @@ def read_opened(spark: SparkSession, store: str) -> tuple[DataFrame, DataFrame]:
 
 
 def capture_pages(
-    pages: DataFrame, contents: DataFrame, rules: DataFrame | None = None, captured_at: Column | None = None
+    pages: DataFrame, contents: DataFrame, rules: DataFrame | None = None, captured_at: Column | None = None, whole_page: bool = False
 ) -> dict[str, DataFrame]:
     """Pages → extraction → envelopes → contract check → contents, as one job.
 
     Gives what ``upsert_captures`` gives, and ``refused``: envelopes that break the
     contract, with their violations. Pages without a text are no captures.
     """
-    lines = cut_lineage(capture_extractions(extract_pages(pages, rules, captured_at)))  # extraction is dear, and read twice
+    lines = cut_lineage(capture_extractions(extract_pages(pages, rules, captured_at, whole_page)))  # extraction is dear, and read twice
     checked = validate_capture(parse_captures(lines))
     good = flatten_captures(checked.filter(F.size("violations") == 0).drop("violations"))
     refused = checked.filter(F.size("violations") > 0).select("page_id", F.coalesce("corrupt", F.to_json("envelope")).alias("line"), "violations")
