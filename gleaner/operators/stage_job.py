@@ -63,13 +63,13 @@ def claim(analyses: DataFrame, jobs: DataFrame, contents: DataFrame, gate: Colum
     ).drop("old_hash")
 
 
-def run_step(state: DataFrame, articles: DataFrame, provider: st.Provider, step: tuple, prompts: Mapping[str, str], retry_prompt: str, mode: str) -> DataFrame:
+def run_step(state: DataFrame, articles: DataFrame, provider: st.Provider, step: tuple, prompts: Mapping[str, str], retry_prompt: str, mode: str, ledger: str | None = None) -> DataFrame:
     """Ask for one stage of all running jobs that stand at it, keep the answers and advance the jobs."""
     stage, build, column = step
     here = (F.col("status") == "running") & (F.col("stage") == stage)
     needed = {"triage": F.lit(True), "analyze": F.col("triage").isNotNull(), "evaluate": F.col("content_analysis").isNotNull()}[stage]
     asked = build(state.filter(here & needed).drop("section_index").join(articles, "content_id"))
-    done = st.complete_stage(asked.select(F.col("analysis_id").alias("id"), "payload"), provider, stage, mode, prompts.get(stage, ""), retry_prompt)
+    done = st.complete_stage(asked.select(F.col("analysis_id").alias("id"), "payload"), provider, stage, mode, prompts.get(stage, ""), retry_prompt, ledger)
     fine = F.col("problem").isNull()
     answers = done.select(
         F.col("id").alias("analysis_id"),
@@ -91,7 +91,7 @@ def run_step(state: DataFrame, articles: DataFrame, provider: st.Provider, step:
 def run_pipeline(
     analyses: DataFrame, jobs: DataFrame, contents: DataFrame, profiles: DataFrame, provider: st.Provider, now: Column,
     gate: Callable[[str], Column] = lambda stage: F.lit(True), k: int | None = None, prompts: Mapping[str, str] | None = None,
-    retry_prompt: str = "", mode: str = "json_object", prompt_version: str = "unversioned",
+    retry_prompt: str = "", mode: str = "json_object", prompt_version: str = "unversioned", ledger: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """New analyses and jobs after one run over all eligible jobs, or the first ``k`` of them.
 
@@ -100,7 +100,8 @@ def run_pipeline(
     and a later run continues them with the results they have. Finished and failed
     jobs are never asked again. Between stages only the narrow state is written;
     texts are joined to it when a request is made. An answer is asked for once
-    per stage and run, and once more where it may be retried.
+    per stage and run, and once more where it may be retried.  With a ``ledger`` folder
+    answers outlive the run: one that was stopped anywhere asks only for what it lacks.
     """
     analyses = with_results(analyses)
     state = cut_lineage(claim(analyses, jobs, contents, gate("triage"), k))
@@ -110,7 +111,7 @@ def run_pipeline(
         if number:
             # What was claimed at a later stage begins with it under the gate of the claim.
             state = st.pause_running(state, gate(step[0]) | ~F.col("worked"))
-        state = run_step(state, articles, provider, step, prompts or {}, retry_prompt, mode)
+        state = run_step(state, articles, provider, step, prompts or {}, retry_prompt, mode, ledger)
     return write_back(analyses, jobs, state, provider.model, prompt_version, now)
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from concurrent.futures import Future, ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import source_hash
@@ -56,30 +58,97 @@ def evaluate_requests(rows: DataFrame) -> DataFrame:
     return rows.withColumn("payload", F.to_json(body, _KEEP_NULLS))
 
 
-def run_stage(requests: DataFrame, provider: Provider, stage: str, system_prompt: str = "") -> DataFrame:
-    """Send every request to the provider, one Arrow batch at a time.
+_ANSWER = "raw string, finish_reason string, error string"
+_LEDGER = f"request_id string, {_ANSWER}, asked_at timestamp"
+
+
+def run_stage(
+    requests: DataFrame, provider: Provider, stage: str, system_prompt: str = "", ledger: str | None = None, concurrency: int = 4,
+    wave: int = 10_000,
+) -> DataFrame:
+    """Send every request to the provider, up to ``concurrency`` at once in a task.
 
     ``requests``: id, payload, and ``note`` if a row adds something of its own to
     the system prompt.  A failing row becomes a row with ``error``.
+
+    ``ledger`` is a shared folder of answers by request.  With it, a request (same
+    model, prompt and payload) is asked once, whatever number of rows or runs ask it.
+    Open requests go out in waves of about ``wave`` of them, each kept before the next
+    one starts; a run that was stopped goes on with what is open, at most one wave of
+    answers is lost.  Within a wave a lost executor costs the tasks it was running, as
+    answers of a task are written when it ends.  Calls that failed stay open.
     """
     note = F.col("note") if "note" in requests.columns else F.lit("")
+    rows = requests.select("id", "payload", F.coalesce(note, F.lit("")).alias("note"))
+    if ledger is None:
+        return _ask(rows, "id", provider, stage, system_prompt, concurrency)
+    folder = f"{ledger}/stage={stage}"
+    keyed = rows.withColumn("request_id", request_key(provider.model, stage, system_prompt))
+    spark = keyed.sparkSession
+    known = read_answers(spark, folder).filter("error IS NULL").select("request_id")
+    # Fixed before the first answer is written, as the ledger is read here and appended to below.
+    open_ = cut_lineage(keyed.drop("id").dropDuplicates(["request_id"]).join(known, "request_id", "left_anti"))
+    waves = -(-open_.count() // wave)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(waves):
+        # A given number of partitions is not merged into fewer.
+        part = open_.filter(F.pmod(F.xxhash64("request_id"), F.lit(waves)) == k).repartition(tasks, "request_id")
+        answers = _ask(part, "request_id", provider, stage, system_prompt, concurrency).withColumn("asked_at", F.current_timestamp())
+        answers.write.mode("append").parquet(folder)
+    told = F.struct(*[c.split()[0] for c in _ANSWER.split(", ")])
+    best = read_answers(spark, folder).groupBy("request_id").agg(
+        F.max_by(told, F.struct(F.col("error").isNull(), "asked_at", "raw")).alias("answer")
+    )
+    return keyed.select("id", "request_id").join(best, "request_id").select("id", "answer.*")
+
+
+def request_key(model: str, stage: str, system_prompt: str) -> Column:
+    """Digest of all that the provider is told in a request."""
+    told = F.to_json(F.struct(F.lit(model).alias("model"), F.lit(stage).alias("stage"), F.lit(system_prompt).alias("prompt"), "note", "payload"))
+    return F.sha2(told, 256)
+
+
+def read_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a ledger folder, none where it is not there yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(_LEDGER).parquet(folder) if there else spark.createDataFrame([], _LEDGER)
+
+
+#: Bytes of answers that a task holds before it hands them on.
+ANSWER_BYTES = 4 << 20
+
+
+def _ask(rows: DataFrame, key: str, provider: Provider, stage: str, system_prompt: str, concurrency: int) -> DataFrame:
+    names = [key, "raw", "finish_reason", "error"]
+
+    def one(row) -> tuple:
+        try:
+            raw, finish = provider.complete(system_prompt + row[2], row[1], stage)
+            return row[0], raw, finish, None
+        except Exception as error:  # one bad call must not fail the task
+            return row[0], None, None, f"{type(error).__name__}: {error}"
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = []
-            for payload, note_of_row in zip(frame["payload"], frame["note"], strict=True):
-                try:
-                    raw, finish = provider.complete(system_prompt + (note_of_row or ""), payload, stage)
-                    answers.append((raw, finish, None))
-                except Exception as error:  # one bad call must not fail the task
-                    answers.append((None, None, f"{type(error).__name__}: {error}"))
-            out = pd.DataFrame(answers, columns=["raw", "finish_reason", "error"])
-            yield pd.concat([frame[["id"]].reset_index(drop=True), out], axis=1)
-
-    kind = dict(requests.dtypes)["id"]
-    return requests.select("id", "payload", note.alias("note")).mapInPandas(
-        call, f"id {kind}, raw string, finish_reason string, error string"
-    )
+        done, size = [], 0
+        waiting: deque[Future] = deque()
+        with ThreadPoolExecutor(concurrency) as pool:
+            for frame in frames:
+                for row in zip(frame[key], frame["payload"], frame["note"], strict=True):
+                    waiting.append(pool.submit(one, row))
+                    if len(waiting) < concurrency:
+                        continue
+                    done.append(waiting.popleft().result())
+                    size += len(done[-1][1] or "")
+                    if size >= ANSWER_BYTES:
+                        yield pd.DataFrame(done, columns=names)
+                        done, size = [], 0
+            done += [w.result() for w in waiting]
+        if done:
+            yield pd.DataFrame(done, columns=names)
+
+    kind = dict(rows.dtypes)[key]
+    return rows.select(key, "payload", "note").mapInPandas(call, f"{key} {kind}, {_ANSWER}")
 
 
 def answer_problem() -> Column:
@@ -106,7 +175,7 @@ def retry_rows(results: DataFrame, mode: str = "json_object") -> DataFrame:
 
 def complete_stage(
     requests: DataFrame, provider: Provider, stage: str, mode: str = "json_object", system_prompt: str = "",
-    retry_prompt: str = "",
+    retry_prompt: str = "", ledger: str | None = None,
 ) -> DataFrame:
     """Run a stage with one retry and check the answers against the contract.
 
@@ -115,10 +184,10 @@ def complete_stage(
     tells the model what was wrong with the first answer.
     """
     parse = PARSERS[stage]
-    first = parse(cut_lineage(run_stage(requests, provider, stage, system_prompt)))
+    first = parse(cut_lineage(run_stage(requests, provider, stage, system_prompt, ledger)))
     reason = F.concat_ws(" ", F.lit("\nThe previous answer was refused:"), answer_problem(), F.array_join("violations", ", "))
     again = requests.join(retry_rows(first, mode).select("id", reason.alias("note")), "id")
-    second = parse(cut_lineage(run_stage(again, provider, stage, system_prompt + retry_prompt)))
+    second = parse(cut_lineage(run_stage(again, provider, stage, system_prompt + retry_prompt, ledger)))
     kept = first.join(second.select("id"), "id", "left_anti")
     return kept.unionByName(second).withColumn("problem", answer_problem())
 

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import sys
 import tempfile
 
@@ -8,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from gleaner.functions import markdown as md
+from gleaner.operators.feedback import confusion_matrix, feedback_fold
 from gleaner.schemas import CAPTURE_SCHEMA_VERSION
 from gleaner.sources.tables import read_snapshot
 from gleaner.streaming import calibration, captures, stages, translation
@@ -113,23 +115,38 @@ def test_late_event_is_noted(spark, folder):
 
 
 def test_calibration_feed(spark, folder):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", stages.ROCKSDB)
     schema = "event_id long, analysis_id string, ts timestamp, ai_recommendation string, preferred_recommendation string"
-    source = f"{folder}/in"
+    source, every = f"{folder}/in", []
 
     def add(rows):
+        every.extend(rows)
         df = spark.createDataFrame(rows, "event_id long, analysis_id string, ts string, ai_recommendation string, preferred_recommendation string")
         df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
 
     def run():
         events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-        calibration.calibration_stream(spark, events, f"{folder}/state", f"{folder}/out", f"{folder}/ckpt").awaitTermination()
-        return {tuple(r) for r in read_snapshot(spark, f"{folder}/out").collect()}
+        calibration.calibration_stream(spark, events, f"{folder}/out", f"{folder}/ckpt").awaitTermination()
+        found = {tuple(r) for r in read_snapshot(spark, f"{folder}/out").collect()}
+        whole = confusion_matrix(feedback_fold(spark.read.schema(schema).parquet(source)))
+        assert found == {tuple(r) for r in whole.collect()}, "the batch result"
+        return found
 
     add([(1, "a", "2024-01-01 00:00:00", "ignore", "ignore"), (2, "b", "2024-01-01 00:00:01", "deep_read", "ignore")])
     assert run() == {("ignore", "ignore", 1), ("deep_read", "ignore", 1)}
     # A correction moves the count; the model's side stays frozen.
     add([(3, "a", "2024-01-01 00:00:02", "deep_read", "selective_read")])
     assert run() == {("ignore", "selective_read", 1), ("deep_read", "ignore", 1)}
+    # Replays change nothing; a late first event changes the model's side; an unknown level leaves the matrix.
+    add([(3, "a", "2024-01-01 00:00:02", "deep_read", "selective_read"), (1, "a", "2024-01-01 00:00:00", "ignore", "ignore")])
+    assert run() == {("ignore", "selective_read", 1), ("deep_read", "ignore", 1)}
+    add([(0, "b", "2023-12-31 00:00:00", "summary_enough", "deep_read"), (9, "a", "2024-01-02 00:00:00", "ignore", None), (4, None, None, "ignore", "ignore")])
+    assert run() == {("summary_enough", "ignore", 1), ("ignore", "ignore", 1)}
+    rng, levels = random.Random(3), ["ignore", "summary_enough", "selective_read", "deep_read", "odd", None]
+    for part in range(2):
+        add([(100 * part + k, rng.choice("abcdefgh"), f"2024-02-0{rng.randrange(1, 9)} 00:00:00", rng.choice(levels), rng.choice(levels)) for k in range(60)])
+    run()
+    assert not os.path.exists(f"{folder}/state")
 
 
 def test_stage_machine(spark, folder):
