@@ -233,8 +233,9 @@ def prune_nodes(nodes: DataFrame, meta: DataFrame, strip_unlikely: bool | Column
     owner = F.last(F.when(title_like, F.col("pos")), ignorenulls=True).over(by_page().rowsBetween(Window.unboundedPreceding, 0))
     owner_end = F.last(F.when(title_like, F.col("last")), ignorenulls=True).over(by_page().rowsBetween(Window.unboundedPreceding, 0))
     marked = marked.withColumns({"_h": owner, "_h_end": owner_end})
-    in_heading = F.col("pos") <= F.col("_h_end")
-    pieces = F.collect_list(F.when(in_heading & F.col("text").isNotNull(), F.struct("pos", "text"))).over(
+    # Rows outside any heading form a group of their own, without text.
+    marked = marked.withColumn("_h", F.when(F.col("pos") <= F.col("_h_end"), F.col("_h")))
+    pieces = F.collect_list(F.when(F.col("_h").isNotNull() & F.col("text").isNotNull(), F.struct("pos", "text"))).over(
         Window.partitionBy("page_id", "_h")
     )
     heading_text = F.array_join(F.transform(F.array_sort(pieces), lambda s: s["text"]), "")
@@ -245,12 +246,16 @@ def prune_nodes(nodes: DataFrame, meta: DataFrame, strip_unlikely: bool | Column
 
     own_text = F.array_join(
         F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("_in_byline") & F.col("text").isNotNull(), F.struct("pos", "text"))).over(page)),
+            F.array_sort(
+                F.collect_list(F.when(F.col("_in_byline") & F.col("text").isNotNull(), F.struct("pos", "text"))).over(Window.partitionBy("page_id", "_in_byline"))
+            ),
             lambda s: s["text"],
         ),
         "",
     )
-    marked = marked.withColumn("byline", F.coalesce("_byline", F.nullif(F.trim(own_text), F.lit(""))))
+    # A byline is at most BYLINE_MAX characters long, so every row may carry it.
+    marked = marked.withColumn("_found", F.when(F.col("pos") == F.col("_b"), F.nullif(F.trim(own_text), F.lit(""))))
+    marked = marked.withColumn("byline", F.coalesce("_byline", F.max("_found").over(page)))
     drop = F.col("_drop") | (F.col("pos") == F.coalesce("_b", F.lit(-1))) | (F.col("pos") == F.coalesce("_repeat", F.lit(-1)))
     return without(marked.withColumn("_drop", drop), F.col("_drop")).select(*nodes.columns, "byline")
 
@@ -261,28 +266,35 @@ def span_of(name: str) -> Column:
     return F.coalesce(F.when(value > 0, value), F.lit(1))
 
 
-def data_tables(nodes: DataFrame) -> DataFrame:
-    """Adds ``data_table`` to table nodes: holds data (true) or is layout (false)."""
+TABLE_SUMS = ("_rows", "_tables", "_marks", "_captions")
+
+
+def table_widths(nodes: DataFrame) -> DataFrame:
+    """Adds ``_width`` to rows of tables and ``_cols`` to tables: cell spans between two row starts, and the most of them."""
     w = by_page().rowsBetween(Window.unboundedPreceding, 0)
     cells = F.when(is_tag("td", "th"), span_of("colspan")).otherwise(0)
-    # Widest row: total of the cell spans between two row starts.
+
     def latest(tag: str) -> Column:
         return F.last(F.when(is_tag(tag), F.col("pos")), ignorenulls=True).over(w)
 
-    placed = nodes.withColumn("_row", latest("tr"))
-    row_width = F.sum(cells).over(Window.partitionBy("page_id", "_row"))
-    placed = placed.withColumn("_width", F.when(is_tag("tr"), row_width))
-    sums = subtree_sums(
-        placed,
-        {
-            "_rows": F.when(is_tag("tr"), span_of("rowspan")).otherwise(0),
-            "_tables": F.when(is_tag("table"), 1).otherwise(0),
-            "_marks": F.when(is_tag("col", "colgroup", "tfoot", "thead", "th"), 1).otherwise(0),
-            "_captions": F.when(is_tag("caption") & (F.col("last") > F.col("pos")), 1).otherwise(0),
-        },
-    ).withColumn("_owner", latest("table"))
-    width = F.max("_width").over(Window.partitionBy("page_id", "_owner"))
-    sums = sums.withColumn("_cols", F.when(is_tag("table"), F.coalesce(width, F.lit(0))))
+    placed = nodes.withColumns({"_row": latest("tr"), "_owner": latest("table")})
+    placed = placed.withColumn("_width", F.when(is_tag("tr"), F.sum(cells).over(Window.partitionBy("page_id", "_row"))))
+    widest = F.max("_width").over(Window.partitionBy("page_id", "_owner"))
+    return placed.withColumn("_cols", F.when(is_tag("table"), F.coalesce(widest, F.lit(0)))).drop("_row", "_owner", "_width")
+
+
+def table_sums() -> dict[str, Column]:
+    """What is added up over a table's subtree."""
+    return {
+        "_rows": F.when(is_tag("tr"), span_of("rowspan")).otherwise(0),
+        "_tables": F.when(is_tag("table"), 1).otherwise(0),
+        "_marks": F.when(is_tag("col", "colgroup", "tfoot", "thead", "th"), 1).otherwise(0),
+        "_captions": F.when(is_tag("caption") & (F.col("last") > F.col("pos")), 1).otherwise(0),
+    }
+
+
+def table_verdict() -> Column:
+    """True for a table that holds data, false for layout, NULL for other nodes."""
     rows, cols = F.col("_rows"), F.col("_cols")
     verdict = (
         F.when(attr("role") == "presentation", False)
@@ -295,7 +307,13 @@ def data_tables(nodes: DataFrame) -> DataFrame:
         .when((rows >= 10) | (cols > 4), True)
         .otherwise(rows * cols > 10)
     )
-    return sums.withColumn("data_table", F.when(is_tag("table"), verdict)).select(*nodes.columns, "data_table")
+    return F.when(is_tag("table"), verdict)
+
+
+def data_tables(nodes: DataFrame) -> DataFrame:
+    """Adds ``data_table`` to table nodes: holds data (true) or is layout (false)."""
+    sums = subtree_sums(table_widths(nodes), table_sums())
+    return sums.withColumn("data_table", table_verdict()).select(*nodes.columns, "data_table")
 
 
 def _fishy(tags: list[str], weights: bool | Column) -> Column:
@@ -361,6 +379,7 @@ def _measure(nodes: DataFrame) -> DataFrame:
             "_textish_all": F.when(element & is_tag("span", "li", "td", *BLOCK_CHILDREN), 1).otherwise(0),
             "_junk": F.when(~element & junk, 1).otherwise(0),
             "_texts": F.when(~element & (length > 0), 1).otherwise(0),
+            "_media": F.when(is_tag("img", "embed", "object", "iframe"), 1).otherwise(0),
             "_data": F.when(F.coalesce(F.col("data_table"), F.lit(False)), 1).otherwise(0),
         },
     ).withColumn(
@@ -370,11 +389,13 @@ def _measure(nodes: DataFrame) -> DataFrame:
 
 
 def clean_conditionally(
-    nodes: DataFrame, tags: list[str], weights: bool | Column = True, enabled: bool | Column = True
+    nodes: DataFrame, tags: list[str], weights: bool | Column = True, enabled: bool | Column = True, **facts: Column
 ) -> DataFrame:
     """Drop blocks of the given tags that look like forms, menus or ads.
 
     ``nodes`` carry ``data_table``.  All blocks of a pass are judged on the same
-    state; the caller runs inner kinds of block before outer ones.
+    state; the caller runs inner kinds of block before outer ones.  ``facts``
+    become columns: what else is to be told from the measures of this pass.
     """
-    return without(_measure(nodes), as_flag(enabled) & _fishy(tags, weights)).select(*nodes.columns)
+    measured = _measure(nodes).withColumns(facts) if facts else _measure(nodes)
+    return without(measured, as_flag(enabled) & _fishy(tags, weights)).select(*nodes.columns, *facts)

@@ -253,7 +253,33 @@ def _(t):
     )
 
 
-@query("normalize_paragraphs")
+# Nodes without navigation and footer; a heading that repeats the title goes where the scoring prunes.
+_KEPT = f"""n AS MATERIALIZED ({_NODES_SQL}),
+k AS (SELECT *, CASE WHEN tag <> '#text' OR trim(text) = '' THEN 0 ELSE length(regexp_replace(text, '\\s+', ' ', 'g')) END AS own,
+        CASE WHEN tag = '#text' THEN len(regexp_extract_all(text, '[,،﹐︐︑⹁⸴⸲，]')) ELSE 0 END AS own_commas FROM n
+      WHERE NOT EXISTS (SELECT 1 FROM n m WHERE m.page_id = n.page_id AND m.tag IN ('nav', 'footer') AND n.pos BETWEEN m.pos AND m.last){{pruned}}),
+sums AS (SELECT v.page_id, v.pos, v.last, v.parent, v.tag, sum(d.own) AS len, sum(d.own_commas) AS commas,
+        count(*) FILTER (d.pos <> v.pos AND d.tag NOT IN ('#text', 'b', 'br', 'a')) AS inner_blocks FROM k v JOIN k d ON d.page_id = v.page_id AND d.pos BETWEEN v.pos AND v.last GROUP BY ALL),
+kinds AS (SELECT s.*, s.tag = 'div' AND inner_blocks = 0 AND len > 0 AS acts_p, s.tag IN ('#text', 'b', 'br') OR (s.tag = 'a' AND inner_blocks = 0) AS phrasing,
+        coalesce(p.tag, '') AS above, last_value(CASE WHEN s.tag <> '#text' OR len > 0 THEN s.tag END IGNORE NULLS) OVER (PARTITION BY s.page_id, s.parent ORDER BY s.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous
+      FROM sums s LEFT JOIN n p ON p.page_id = s.page_id AND p.pos = s.parent),
+cuts AS (SELECT *, NOT phrasing OR (tag = 'br' AND coalesce(previous = 'br', false)) AS cut FROM kinds),
+runs AS (SELECT *, count(*) FILTER (cut) OVER (PARTITION BY page_id, parent ORDER BY pos) AS run, phrasing AND above = 'div' AND bool_or(cut) OVER (PARTITION BY page_id, parent) AS in_run FROM cuts),
+units AS (SELECT *, sum(len) OVER g AS run_len, in_run AND pos = min(pos) OVER g AND sum(len) OVER g > 0 AS run_head FROM runs WINDOW g AS (PARTITION BY page_id, parent, run, in_run))"""
+_PARAGRAPHS_SQL = f"WITH {_KEPT.format(pruned='')} SELECT page_id, pos, tag, CAST(len AS BIGINT) AS len, CAST(run_len AS BIGINT) AS run_len, acts_p, run_head FROM units WHERE run_head OR acts_p OR tag = 'p'"
+_FIRST_HEADING = """ AND NOT EXISTS (SELECT 1 FROM n h WHERE h.page_id = n.page_id AND h.tag = 'h1' AND n.pos BETWEEN h.pos AND h.last
+        AND h.pos = (SELECT min(pos) FROM n f WHERE f.page_id = n.page_id AND f.tag = 'h1'))"""
+_SCORES = f"""WITH RECURSIVE {_KEPT.format(pruned=_FIRST_HEADING)},
+points AS (SELECT page_id, pos, parent, 2 + commas + least(length // 100, 3) AS points
+           FROM (SELECT *, CASE WHEN run_head THEN run_len ELSE len END AS length FROM units WHERE run_head OR acts_p OR tag IN ('p', 'td', 'pre', 'section', 'h2', 'h3', 'h4', 'h5', 'h6')) u WHERE length >= 25),
+ups AS (SELECT page_id, pos, points, parent AS target, 0 AS level FROM points UNION ALL
+        SELECT u.page_id, u.pos, u.points, n.parent, u.level + 1 FROM ups u JOIN n ON n.page_id = u.page_id AND n.pos = u.target WHERE u.level < 4),
+met AS (SELECT page_id, target, sum(points / CASE level WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE level * 3 END) AS points, min((pos, level)) AS found FROM ups WHERE target >= 0 GROUP BY page_id, target),
+scores AS (SELECT m.page_id, m.target AS pos, n.tag, round(points + CASE n.tag WHEN 'div' THEN 5 WHEN 'li' THEN -3 WHEN 'ul' THEN -3 ELSE 0 END, 6) AS score, found
+           FROM met m JOIN n ON n.page_id = m.page_id AND n.pos = m.target WHERE n.tag <> 'html')"""
+
+
+@query("normalize_paragraphs", _PARAGRAPHS_SQL)
 def _(t):
     rows = so.normalize_paragraphs(clean_nodes(t))
     return rows.filter(F.col("run_head") | F.col("acts_p") | (F.col("tag") == "p")).select("page_id", "pos", "tag", "len", "run_len", "acts_p", "run_head")
@@ -263,14 +289,18 @@ def scored(t: Inputs) -> DataFrame:
     return so.score_candidates(fl.prune_nodes(clean_nodes(t), mt.jsonld_metadata(t.pages)))
 
 
-@query("score_candidates")
+@query("score_candidates", f"{_SCORES} SELECT page_id, pos, tag, score FROM scores")
 def _(t):
     return scored(t).filter("score IS NOT NULL").select("page_id", "pos", "tag", F.round("score", 6).alias("score"))
 
 
-@query("top_candidates")
+@query(
+    "top_candidates",
+    f"""{_SCORES} SELECT page_id, CAST(1 AS INTEGER) AS rank, pos, tag, score FROM scores
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY score DESC, found, pos) = 1""",
+)
 def _(t):
-    return so.top_candidates(scored(t)).select("page_id", "rank", "pos", "tag", F.round("score", 6).alias("score"))
+    return so.top_candidates(scored(t), 1).select("page_id", "rank", "pos", "tag", F.round("score", 6).alias("score"))
 
 
 @query("main_content")
@@ -279,11 +309,38 @@ def _(t):
     return content.select("page_id", "attempt", "pos", "tag", "text")
 
 
-@query("clean_conditionally")
+def boxed_pages(t: Inputs) -> DataFrame:
+    """Article pages with boxes before the article: links (half of them linked text), a widget, a list of links, a form, a linked name in a div."""
+    n = F.col("page_id")
+    first = F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 60)
+    boxes = F.concat(
+        F.when(n % 2 == 0, F.concat(F.lit("<div id=links><p><a href=/x>"), first, F.lit("</a>, "), F.when(n % 4 == 0, F.repeat(first, 9)).otherwise(F.lit("")), F.lit(" and more words</p></div>"))).otherwise(F.lit("")),
+        F.when(n % 3 == 0, F.concat(F.lit("<div class=widget><p>"), first, F.lit(" in a widget of this site</p></div>"))).otherwise(F.lit("")),
+        F.when(n % 5 == 0, F.lit("<ul><li><a href=/a>first link</a><li><a href=/b>second link</a></ul>")).otherwise(F.lit("")),
+        F.when(n % 7 == 0, F.lit("<form><input name=q><p>Search the site, its pages and its words</p></form>")).otherwise(F.lit("")),
+    )
+    return article_pages(t).withColumn("html", F.replace("html", F.lit("<article>"), F.concat(boxes, F.lit("<article>"))))
+
+
+# A widget's class goes against it, a form has more inputs than a third of its paragraphs, a list may hold links.
+# A div keeps its place while links are at most a fifth of its text, and it has some text besides.
+_BOXES = """SELECT doc_id, lines, doc_id % 2 = 0 AND NOT (linked / total > 0.2 OR (total < 25 AND linked > 0)) AS box
+    FROM (SELECT *, linked + length(regexp_replace(', ' || CASE WHEN doc_id % 4 = 0 THEN repeat(s, 9) ELSE '' END || ' and more words', ' +', ' ', 'g')) AS total
+          FROM (SELECT doc_id, s, lines, CASE WHEN trim(s) = '' THEN 0 ELSE length(regexp_replace(s, ' +', ' ', 'g')) END AS linked
+                FROM (SELECT doc_id, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 60) AS s, len(string_split(text, chr(10))) AS lines FROM documents)))"""
+
+
+@query(
+    "clean_conditionally",
+    f"""SELECT doc_id AS page_id, 1::BIGINT AS tables, CAST(lines + 2 + CASE WHEN box THEN 1 ELSE 0 END AS BIGINT) AS paragraphs, 0::BIGINT AS widgets,
+              CAST(CASE WHEN box THEN 1 ELSE 0 END AS BIGINT) AS link_boxes, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS lists, 0::BIGINT AS forms FROM ({_BOXES})""",
+)
 def _(t):
-    rows = fl.data_tables(tr.html_tokens(article_pages(t)))
-    return fl.clean_conditionally(rows, ["table", "div"]).groupBy("page_id").agg(
-        F.count_if(F.col("tag") == "table").alias("tables"), F.count_if(F.col("tag") == "p").alias("paragraphs")
+    rows = fl.data_tables(tr.html_tokens(boxed_pages(t)))
+    tag = F.col("tag")
+    return fl.clean_conditionally(rows, ["table", "div", "ul", "form"]).groupBy("page_id").agg(
+        F.count_if(tag == "table").alias("tables"), F.count_if(tag == "p").alias("paragraphs"), F.count_if(tr.attr("class") == "widget").alias("widgets"),
+        F.count_if(tr.attr("id") == "links").alias("link_boxes"), F.count_if(tag == "ul").alias("lists"), F.count_if(tag == "form").alias("forms"),
     )
 
 
