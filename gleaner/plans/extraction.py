@@ -303,7 +303,16 @@ def _(t):
     return so.top_candidates(scored(t), 1).select("page_id", "rank", "pos", "tag", F.round("score", 6).alias("score"))
 
 
-@query("main_content")
+# The article without the heading that repeats the title; where that leaves too little, the last attempt also keeps the box before it:
+# a sibling counts as a paragraph with more than 80 characters, or with fewer and the end of a sentence.
+_CONTENT_SQL = f"""WITH {_KEPT.format(pruned=_FIRST_HEADING)},
+parts AS (SELECT k.*, box.tag = 'div' AS boxed FROM k JOIN n box ON box.page_id = k.page_id AND box.tag IN ('article', 'div') AND k.pos BETWEEN box.pos AND box.last),
+tried AS (SELECT page_id, CAST(CASE WHEN sum(own) FILTER (NOT boxed) >= 500 THEN 0 WHEN sum(own) FILTER (boxed) > 80 OR (sum(own) FILTER (boxed) BETWEEN 1 AND 79 AND bool_or(regexp_matches(text, '\\.( |$)')) FILTER (boxed)) THEN 3 ELSE 0 END AS INTEGER) AS attempt
+          FROM parts GROUP BY page_id)
+SELECT page_id, attempt, pos, tag, text FROM parts JOIN tried USING (page_id) WHERE NOT boxed OR attempt = 3"""
+
+
+@query("main_content", _CONTENT_SQL)
 def _(t):
     content = so.main_content(clean_nodes(t), mt.jsonld_metadata(t.pages))
     return content.select("page_id", "attempt", "pos", "tag", "text")
