@@ -205,19 +205,38 @@ def table_nodes(t: Inputs) -> DataFrame:
     return tr.html_tokens(article_pages(t)).filter(F.size("cells") >= 0)
 
 
-_GRID = """SELECT doc_id AS page_id, CAST(i - 1 + (CASE WHEN doc_id % 4 = 1 THEN 0 ELSE 1 END) AS INT) AS row_no, lines[i] AS line, i
-    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(generate_series(1, len(lines))) AS u(i)"""
+def grid_pages(t: Inputs) -> DataFrame:
+    """Tables whose rows take turns: two cells, a cell over two rows, its second row, no cells; the foot stands first."""
+    words = F.transform(F.split("text", "\n"), lambda l: F.trim(F.regexp_replace(F.regexp_replace(l, "[^A-Za-z ]", ""), " +", " ")))
+    last = F.size(words) - 1
+
+    def row(line, i):
+        number = F.concat(F.lit("<td>"), i.cast("string"))
+        return (
+            F.when(i % 4 == 3, F.lit("<tr></tr>"))
+            .when((i % 4 == 1) & (i < last), F.concat(F.lit("<tr><td rowspan=2>"), i.cast("string"), F.lit("<td>"), line))
+            .when(i % 4 == 2, F.concat(F.lit("<tr><td>"), line))
+            .otherwise(F.concat(F.lit("<tr>"), number, F.lit("<td>"), line))
+        )
+
+    rows = F.array_join(F.transform(words, row), "")
+    html = F.concat(F.lit("<html><body><table><tfoot><tr><td>foot<td>end</tfoot><thead><tr><th>No<th>Line</thead><tbody>"), rows, F.lit("</tbody></table></body></html>"))
+    return t.documents.select(F.col("doc_id").alias("page_id"), F.lit("https://news.example.org/").alias("url"), html.alias("html"))
+
+
+_GRID = """SELECT doc_id AS page_id, i, len(lines) AS n, trim(regexp_replace(regexp_replace(lines[i + 1], '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS line
+    FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), unnest(range(len(lines))) AS u(i)"""
 
 
 @query(
     "table_grid",
-    f"""SELECT page_id, row_no, 0::INT AS col_no, CASE WHEN i % 3 = 0 THEN regexp_replace(line, '[^A-Za-z]', '', 'g') ELSE '' END AS letters FROM ({_GRID})
-        UNION ALL SELECT page_id, row_no, 1::INT, regexp_replace(line, '[^A-Za-z]', '', 'g') FROM ({_GRID})
-        UNION ALL SELECT doc_id, 0::INT, c::INT, CASE c WHEN 0 THEN 'No' ELSE 'Line' END FROM documents, (SELECT unnest([0, 1]) AS c) WHERE doc_id % 4 <> 1""",
+    f"""SELECT page_id, CAST(i + 1 AS INT) AS row_no, CAST(c AS INT) AS col_no, CASE WHEN i % 4 = 3 THEN '' WHEN c = 1 THEN line WHEN i % 4 = 2 THEN CAST(i - 1 AS VARCHAR) ELSE CAST(i AS VARCHAR) END AS text,
+               1::INT AS header_rows, n < 3 AS simple FROM ({_GRID}), (SELECT unnest([0, 1]) AS c)
+        UNION ALL SELECT doc_id, 0::INT, c::INT, CASE c WHEN 0 THEN 'No' ELSE 'Line' END, 1::INT, len(string_split(text, chr(10))) < 3 FROM documents, (SELECT unnest([0, 1]) AS c)
+        UNION ALL SELECT doc_id, CAST(len(string_split(text, chr(10))) + 1 AS INT), c::INT, CASE c WHEN 0 THEN 'foot' ELSE 'end' END, 1::INT, len(string_split(text, chr(10))) < 3 FROM documents, (SELECT unnest([0, 1]) AS c)""",
 )
 def _(t):
-    grid = mk.table_grid(table_nodes(t))
-    return grid.select("page_id", "row_no", "col_no", F.regexp_replace("text", "[^A-Za-z]", "").alias("letters"))
+    return mk.table_grid(tr.html_tokens(grid_pages(t))).select("page_id", "row_no", "col_no", "text", "header_rows", "simple")
 
 
 @query(

@@ -47,6 +47,7 @@ def test_slots_against_brute_force():
     assert [c for _, _, c in grid] == [0, 0, 1, 2, 3, 4, 2, 5, 6]
     assert mk.fill_slots([cell(0, rowspan=0), cell(0), cell(1)]) == [(0, 0, 0), (0, 1, 1), (1, 0, 0), (1, 1, 2)]
     assert mk.fill_slots([]) == []
+    assert mk.fill_slots([cell(1)], 3) == [(0, 0, -1), (1, 0, 0), (2, 0, -1)]
 
 
 def test_markdown_forms(spark):
@@ -63,6 +64,17 @@ def test_markdown_forms(spark):
 def test_markdown_tables(spark):
     assert markdown(spark, "<table><tr><th>A<th>B|<tr><td>1<td>2</table>") == "| A | B\\| |\n| --- | --- |\n| 1 | 2 |"
     assert markdown(spark, "<table><tr><td colspan=2>w<tr><td>x<td>y</table>") == "| 列 1 | 列 2 |\n| --- | --- |\n| w | w |\n| x | y |"
+    # A row without cells stays a row, ends the header and makes the widths unequal; the foot comes last.
+    empty = "<table><tr><th>A<th>B<tr></tr><tr><th>1<th>2</table>"
+    assert markdown(spark, empty) == "| A | B |\n| --- | --- |\n|  |  |\n| 1 | 2 |"
+    assert markdown(spark, "<table><tr></tr><tr><th>A<tr><td>1</table>") == "| 列 1 |\n| --- |\n|  |\n| A |\n| 1 |"
+    foot = "<table><tfoot><tr><td>sum</tfoot><tbody><tr><td>1</tbody><thead><tr><td>H</thead></table>"
+    assert markdown(spark, foot) == "| H |\n| --- |\n| 1 |\n| sum |"
+    # A span attribute of one makes a table complex, too: its empty labels are numbered.
+    assert markdown(spark, "<table><tr><th><th>B<tr><td>1<td>2</table>").startswith("|  | B |")
+    assert markdown(spark, "<table><tr><th colspan=1><th>B<tr><td>1<td>2</table>").startswith("| 列 1 | B |")
+    nested = "<table><tr><td>a<table><tr><td>in</table><td>b<tr><td>c<td>d</table>"
+    assert markdown(spark, nested).endswith("| c | d |") and " | b |" in markdown(spark, nested)
     two_heads = "<table><thead><tr><th>G<th>G<tr><th>a<th>b</thead><tr><td>1<td>2</table>"
     assert markdown(spark, two_heads) == "| G / a | G / b |\n| --- | --- |\n| 1 | 2 |"
 
