@@ -165,23 +165,32 @@ def sketches(rows: DataFrame, join: Join) -> DataFrame:
     return rows.mapInArrow(run, SKETCH)
 
 
+def bitmap_of(rows: DataFrame, hash: F.Column, size: int) -> np.ndarray:
+    """So many bits, one set for each hash modulo their number; as large for any number of rows."""
+    slots = rows.select(F.pmod(hash, F.lit(size)).alias("slot"))
+    words = slots.groupBy(F.floor(F.col("slot") / 32).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(slot, 32) AS int))")).alias("bits")).toPandas()
+    bitmap = np.zeros(size // 32, np.uint32)
+    bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return bitmap
+
+
+def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bitmap[slots // 32] >> (slots % 32).astype(np.uint32)) & 1 == 1
+
+
 def exact_sets(rows: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     """Sets (n_shingles, f1, f2, shingles) of the documents whose id is a ``root`` of the wanted classes, and of a few more.
 
     The wanted ids are sent as a bitmap of their hashes, which has ``bitmap`` bits at any
     size of the input; where it fills up, more sets are built than needed, none is missed.
     """
-    slot = F.pmod(F.xxhash64("root"), F.lit(join.bitmap))
-    words = wanted.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(slot, 32) AS int))")).alias("bits")).toPandas()
-    bitmap = np.zeros(join.bitmap // 32, np.uint32)
-    bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted, F.xxhash64("root"), join.bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for batch in batches:
             slots = batch.column(0).to_numpy(zero_copy_only=False)
-            hit = (sent.value[slots // 32] >> (slots % 32).astype(np.uint32)) & 1 == 1
+            hit = in_bitmap(sent.value, slots)
             for _, texts in chunks(iter([batch.filter(pa.array(hit))]), size=1 << 20):
                 if len(known) > 150_000:
                     known.clear()
@@ -195,15 +204,29 @@ def exact_sets(rows: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
     return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(join.bitmap)).alias("slot"), "text").mapInArrow(run, SETS)
 
 
-def bucket_members(drawn: DataFrame, classes: DataFrame) -> DataFrame:
+def bucket_members(drawn: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """(key, node, n, rows) of every segment that two classes or more share.
 
     Until it is known that a key is shared, a class goes by one of its fingerprints alone.
+    All keys are shuffled once, added up in the tasks first. Those found to be shared are
+    sent as a bitmap of bounded size, and only keys that meet a bit of it are shuffled
+    again; where the bitmap fills up, more are shuffled than needed, none is missed.
     """
     keys = drawn.select("f1", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low < high").select("key")
-    found = keys.join(shared, "key").distinct().join(classes.select("f1", "node", F.col("n_shingles").alias("n")), "f1").select("key", "node", "n")
-    found = cut_lineage(found)
+    shared = cut_lineage(keys.groupBy("key").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).filter("low < high").select("key"))
+    size = join.bitmap
+    sent = drawn.sparkSession.sparkContext.broadcast(bitmap_of(shared, F.col("key"), size))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            hit = np.flatnonzero(in_bitmap(sent.value, flat % size))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[hit])), pa.array(flat[hit])], names=["f1", "key"])
+
+    found = drawn.select("f1", "keys").mapInArrow(meet, "f1 long, key long").join(shared, "key").distinct()
+    found = cut_lineage(found.join(classes.select("f1", "node", F.col("n_shingles").alias("n")), "f1").select("key", "node", "n"))
     return found.join(found.groupBy("key").agg(F.count("*").alias("rows")), "key")
 
 
@@ -292,13 +315,14 @@ def linked_rows(rows: DataFrame, join: Join) -> DataFrame:
     drawn = cut_lineage(sketches(rows.select("doc_id", F.xxhash64("text").alias("mark"), "text"), join))
     classes = drawn.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("root"))
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
-    members, central = with_pivots(bucket_members(drawn, classes))
+    members, central = with_pivots(bucket_members(drawn, classes, join))
     members = cut_lineage(members)
 
     wanted = cut_lineage(members.select("node").distinct().join(classes, "node"))
     found = exact_sets(rows, wanted, join)
-    sets = found.join(wanted.select("node", "n_shingles", "f1", "f2"), ["n_shingles", "f1", "f2"])
-    sets = cut_lineage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    # One row of each class, then its node: both by the same columns, so the sets are shuffled once.
+    sets = found.groupBy("n_shingles", "f1", "f2").agg(F.first("shingles").alias("shingles"))
+    sets = cut_lineage(sets.join(wanted.select("node", "n_shingles", "f1", "f2"), ["n_shingles", "f1", "f2"]).select("node", "shingles"))
 
     star = members.filter("node != pivot").filter(near_size("n", "pivot_n", join))
     star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
