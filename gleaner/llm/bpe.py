@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from .common import chunks, columns
@@ -201,10 +202,10 @@ def bpe_round_trip(documents: DataFrame, path: str, id: str = "doc_id", text: st
     the text again. Ids may be null or repeat. The tables are sent to the tasks; their
     size is bounded by the vocabulary.
     """
-    tables = documents.sparkSession.sparkContext.broadcast(load_tables(path))
+    tables = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(load_tables(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tables.value)
+        encoder = Encoder(cloudpickle.loads(tables.value))
         for part, raw in chunks(batches):
             texts = [b.decode("utf-8", "replace") for b in raw]
             ids = encoder.encode(texts)

@@ -14,6 +14,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -314,10 +315,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, search: Search = Sear
     cut = [(q, [items.terms[w] for w in piece]) for q, ws in enumerate(items.words) for piece in pieces(ws, search.window)]
     queries = np.stack([weighted[piece].sum(0) for _, piece in cut])
     queries = (queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    sent = spark.sparkContext.broadcast((items, cut, weighted, queries))
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps((items, cut, weighted, queries)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, cut, weighted, queries = sent.value
+        items, cut, weighted, queries = cloudpickle.loads(sent.value)
         other = len(items.terms)
         wanted = [[items.terms[w] for w in ws] for ws in items.words]
         answers = [[items.terms[w] for w in ws] for ws in items.answers]

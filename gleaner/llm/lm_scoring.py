@@ -16,6 +16,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,20 +240,20 @@ def symbol_rows(texts: list[bytes], v: Vocabulary, s: Settings) -> tuple[np.ndar
 def train_model(rows: DataFrame, v: Vocabulary, s: Settings) -> Model:
     """Start on a bounded part of the training documents, then one pass over all of them."""
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast(v)
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(v))
     model = fresh_model(v, s)
     documents = max(1, int(v.symbol_counts[s.words]))
     part = min(1.0, s.start_documents / documents)
     first = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) <= int(part * 1_000_000)).coalesce(1)
 
     def round_of(data: DataFrame, model: Model) -> Model:
-        sent = spark.sparkContext.broadcast(model)
+        sent = spark.sparkContext.broadcast(cloudpickle.dumps(model))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            start = sent.value
-            trainer = Trainer(start.like(start.flat().copy()), shared.value.symbol_counts, s, s.seed)
+            start, vocabulary = cloudpickle.loads(sent.value), cloudpickle.loads(shared.value)
+            trainer = Trainer(start.like(start.flat().copy()), vocabulary.symbol_counts, s, s.seed)
             for _, texts in chunks(batches, size=1 << 20):
-                _, symbol, lengths, _ = symbol_rows(texts, shared.value, s)
+                _, symbol, lengths, _ = symbol_rows(texts, vocabulary, s)
                 trainer.learn(symbol, lengths)
             if trainer.seen:
                 flat = trainer.model.flat().astype(np.float64)
@@ -296,10 +297,10 @@ def score_documents(documents: DataFrame, s: Settings = Settings(), id: str = "d
     counts = cut_lineage(token_counts(training))
     vocabulary = read_vocabulary(counts, s)
     model = train_model(training, vocabulary, s)
-    sent = documents.sparkSession.sparkContext.broadcast((vocabulary, model))
+    sent = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps((vocabulary, model)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, model = sent.value
+        v, model = cloudpickle.loads(sent.value)
         base_divisor, inner_divisor = v.base_divisor(), v.inner_divisor()
         inner_divisor[: s.words + 1] = 0
         count_log = np.log10(np.r_[v.counts, 0] + 0.5)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -410,12 +411,13 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, s: Settings = Settin
     alone. Without labels every score is near 0.
     """
     network = fit(documents, labels, s, id, text, label, folds, held_fold)
-    sent = documents.sparkSession.sparkContext.broadcast(network)
+    sent = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(network))
     rows = columns(documents, doc_id=id, text=text).select("doc_id", (fold("doc_id", folds) == held_fold).alias("held_out"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(sent.value)
-        slope, shift = sent.value.calibration
+        own = cloudpickle.loads(sent.value)
+        scorer = Scorer(own)
+        slope, shift = own.calibration
         for part, raw in chunks(batches):
             best = scorer.documents([b.decode("utf-8", "replace") for b in raw])
             score = 1 / (1 + np.exp(-np.clip(slope * best + shift, -30, 30)))
@@ -431,12 +433,13 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings, id: str = "doc_id"
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, s: Settings = Settings(), id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents whose text is not predicted toxic, judged row by row."""
-    network = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, s, id, text))
+    network = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(fit(documents, labels, s, id, text)))
     place = documents.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(network.value)
-        slope, shift = network.value.calibration
+        own = cloudpickle.loads(network.value)
+        scorer = Scorer(own)
+        slope, shift = own.calibration
         for part, raw in chunks(batches, place):
             best = scorer.documents([b.decode("utf-8", "replace") for b in raw])
             score = 1 / (1 + np.exp(-np.clip(slope * best + shift, -30, 30)))
