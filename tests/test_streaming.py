@@ -98,20 +98,38 @@ def test_two_versions_of_one_capture_in_one_batch(spark, folder):
     assert [r.markdown for r in captures.read_contents(spark, contents).collect()] == ["newer"]
 
 
-def test_late_event_is_noted(spark, folder):
+EVENTS = "analysis_id string, event_id long, kind string, stage string, decision string, source_hash string"
+
+
+def feed_stages(spark, folder, rows, **options):
+    """One batch of events through the stage stream; all transitions so far, in order of their events."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", stages.ROCKSDB)
-    schema = "analysis_id string, event_id long, kind string, stage string, decision string, source_hash string"
+    spark.createDataFrame(rows, EVENTS).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    events = spark.readStream.schema(EVENTS).parquet(f"{folder}/in")
+    stream = stages.stage_stream(events, **options).writeStream.format("parquet").option("path", f"{folder}/out")
+    stream.option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/out").collect()
+    return sorted((r.analysis_id, r.event_id, r.stage, r.status, r.source_hash, r.note) for r in found)
 
-    def feed(rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        events = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        stream = stages.stage_stream(events).writeStream.format("parquet").option("path", f"{folder}/out")
-        stream.option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start().awaitTermination()
 
-    feed([("a", 1, "capture", None, None, "h"), ("a", 3, "result", "triage", "continue", "h")])
-    feed([("a", 2, "pause", None, None, None)])
-    got = {r.event_id: (r.stage, r.note) for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert got[2] == (got[3][0], "late")
+def test_late_event_is_noted(spark, folder):
+    feed_stages(spark, folder, [("a", 1, "capture", None, None, "h"), ("a", 3, "result", "triage", "continue", "h")], skip_gaps=True)
+    got = feed_stages(spark, folder, [("a", 2, "pause", None, None, None)], skip_gaps=True)
+    assert [(n, stage, note) for _, n, stage, _, _, note in got] == [(1, "triage", "created"), (2, "analyze", "late"), (3, "analyze", "advanced")]
+
+
+def test_events_in_any_order(spark, folder):
+    rng = random.Random(6)
+    kinds = [("capture", None, None), ("result", "triage", "continue"), ("result", "analyze", None), ("pause", None, None), ("error", None, None), ("retry", None, None)]
+    rows = [(key, n + 1, *rng.choice(kinds), rng.choice(["h1", "h1", "h2"])) for key in "abc" for n in range(60)]
+    state, want = {}, []
+    for key, n, kind, stage, decision, source_hash in rows:
+        state[key], note = stages.apply_event(state.get(key, ("triage", "pending", None)), stages.Event(kind, stage, decision, source_hash))
+        want.append((key, n, *state[key], note))
+    rng.shuffle(rows)
+    for part in (rows[:70], rows[70:120], rows[120:]):
+        got = feed_stages(spark, folder, part)
+    assert got == sorted(want), "the transitions of the ordered events"
 
 
 def test_calibration_feed(spark, folder):
