@@ -50,7 +50,7 @@ def quality_rank(level: Column) -> Column:
     return rank
 
 
-# --- stored tables ----------------------------------------------------------
+# --- fixed values: fields of the stored tables and of the data contract ------
 CAPTURE_DDL = (
     "schema_version string, capture_id string, "
     "source struct<type: string, url: string, canonical_url: string, title: string, author: string>, "

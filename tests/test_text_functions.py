@@ -2,6 +2,7 @@ import random
 import re
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import markdown as md
@@ -129,30 +130,42 @@ def test_block_kinds(evaluate):
     assert kinds == ["heading", "code", "image", "separator", "separator", "quote", "list", "list", "table", "paragraph", "paragraph"]
 
 
-def brute_tables(doc):
-    n, prev, mark, size = 0, False, "", 0
-    for line in doc.split("\n"):
-        m = re.match(r"\s{0,3}(`{3,}|~{3,})", line)
-        if m:
-            run = m.group(1)
-            if not mark:
-                mark, size = run[0], len(run)
-            elif run[0] == mark and len(run) >= size:
-                mark, size = "", 0
-            prev = False
-            continue
-        is_row = not mark and bool(re.match(r"\s*\|.*\|\s*$", line))
-        is_delim = is_row and bool(re.match(r"\s*\|(?:\s*:?-{3,}:?\s*\|)+\s*$", line))
-        n += is_delim and prev
-        prev = is_row and not is_delim
-    return n
-
-
-def test_count_tables(evaluate):
+@pytest.mark.parametrize(
+    "doc, tables",
+    [
+        ("", 0),
+        ("|a|b|", 0),
+        ("|a|b|\n|---|---|", 1),
+        ("  |a|b|  \n | :---: | ---: |\n|1|2|", 1),
+        ("|a|\n|--|", 0),  # two dashes are no delimiter
+        ("|---|\n|---|", 0),  # a delimiter is no header
+        ("|a|\n\n|---|", 0),
+        ("|a|\n|---|\n|b|\n|---|", 2),
+        ("|a|\n|---|\n|---|", 1),
+        ("a|b\n-|-", 0),
+        ("```\n|a|\n|---|\n```", 0),
+        ("~~~\n|a|\n|---|\n```\n|a|\n|---|\n~~~\n|a|\n|---|", 1),  # the other mark does not close
+        ("````\n```\n|a|\n|---|\n````\n|a|\n|---|", 1),  # nor does a shorter one
+        ("    ```\n|a|\n|---|", 1),  # indented too far for a fence
+        ("|a|\n```\n```\n|---|", 0),
+        ("```\n|a|\n|---|", 0),  # an open fence goes to the end
+    ],
+)
+def test_count_tables(evaluate, doc, tables):
+    assert first(evaluate, [doc], md.count_tables(F.col("c"))) == [tables]
+
+
+def test_count_tables_adds_up(evaluate):
     rng = random.Random(9)
-    pieces = ["|a|b|", "|---|:-:|", "| x |", "|--|", "```", "````", "   ~~~", "    ```", "text", ""]
-    docs = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
-    assert first(evaluate, docs, md.count_tables(F.col("c"))) == [brute_tables(d) for d in docs]
+    pieces = ["|a|b|", "|---|:---:|", "| x |", "|--|", "text", "", "a | b"]
+    docs = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    count = lambda made: first(evaluate, made, md.count_tables(F.col("c")))
+    own = count(docs)
+    assert sum(own) > 50
+    assert count([f"{d}\n\n| h | k |\n|---|---|" for d in docs]) == [n + 1 for n in own]
+    assert count([f"{d}\n```\n{e}\n```\n" for d, e in zip(docs, docs[::-1], strict=True)]) == own
+    assert count([f"{d}\n\n{e}" for d, e in zip(docs, docs[::-1], strict=True)]) == [n + m for n, m in zip(own, own[::-1], strict=True)]
+    assert count([d.replace("-", "x") for d in docs]) == [0] * len(docs)
 
 
 def test_long_runs_do_not_overflow(evaluate):
