@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_filename
 from ..operators.extraction import filters as fl
 from ..operators.extraction import markdown as mk
 from ..operators.extraction import metadata as mt
@@ -139,15 +138,6 @@ def _(t):
     return left.join(ruled.groupBy("page_id").agg(F.count_if(tag == "a").alias("links_by_rule")), "page_id")
 
 
-@query(
-    "page_metadata",
-    """SELECT page_id, url AS source, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS site,
-              CAST(NULL AS VARCHAR) AS published_at, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language FROM pages""",
-)
-def _(t):
-    return mt.page_metadata(t.pages)
-
-
 def article_pages(t: Inputs) -> DataFrame:
     """Documents as web pages with meta tags, JSON-LD, tables, images and code."""
     n = F.col("doc_id")
@@ -191,6 +181,18 @@ def article_pages(t: Inputs) -> DataFrame:
     )
 
 
+# The given pages have no author and no site, so articles built from the documents follow them.
+@query(
+    "page_metadata",
+    """SELECT page_id, url AS source, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, CAST(NULL AS VARCHAR) AS author, CAST(NULL AS VARCHAR) AS site,
+              CAST(NULL AS VARCHAR) AS published_at, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language FROM pages
+       UNION ALL SELECT -1 - doc_id, 'https://news.example.org/a/b/' || doc_id, 'Report number ' || doc_id || ' about reading | Site of news', 'Meta Author', 'Tag & Site', NULL, lang FROM documents""",
+)
+def _(t):
+    articles = article_pages(t).select((-1 - F.col("page_id")).alias("page_id"), "url", "html")
+    return mt.page_metadata(t.pages.select("page_id", "url", "html").unionByName(articles))
+
+
 @query(
     "jsonld_metadata",
     """SELECT doc_id AS page_id, 'Report number ' || doc_id || ' about reading' AS title, CASE WHEN ld THEN 'Ann, Bob ' || doc_id ELSE 'Meta Author' END AS byline,
@@ -258,18 +260,18 @@ def _(t):
     return rows.select("page_id", (F.row_number().over(order) - 1).alias("link_no"), F.try_element_at("attrs", F.lit("href")).alias("target"))
 
 
+# Hidden parts and the heading that repeats the title go; the byline stays, as the metadata has an author already.
 @query(
     "prune_nodes",
-    """SELECT doc_id AS page_id, 'By Carol' AS byline, 0::BIGINT AS titles, 0::BIGINT AS secrets, 0::BIGINT AS footers FROM documents WHERE false
-       UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 <> 3 THEN 'Ann, Bob ' || doc_id ELSE 'Meta Author' END, 0, 0, 0 FROM documents""",
+    """SELECT doc_id AS page_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 <> 3 THEN 'Ann, Bob ' || doc_id ELSE 'Meta Author' END AS byline,
+              'ReportnumberaboutreadingSiteofnewsxByCarol' || letters || CASE WHEN doc_id % 4 = 1 THEN '' ELSE 'NoLine' END || letters || 'SELECTFROMtupend' AS letters
+       FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS letters FROM documents)""",
 )
 def _(t):
     pages = article_pages(t)
     pruned = fl.prune_nodes(tr.html_tokens(pages), mt.jsonld_metadata(pages))
-    return pruned.groupBy("page_id").agg(
-        F.max("byline").alias("byline"), F.count_if(F.col("tag") == "h1").alias("titles"),
-        F.count_if(F.col("text") == "secret").alias("secrets"), F.count_if((F.col("tag") == "footer") & (tr.attr("class") != "")).alias("footers"),
-    )
+    bylines = pruned.groupBy("page_id").agg(F.max("byline").alias("byline"))
+    return bylines.join(tr.inner_text(pruned, ["page_id"]), "page_id").select("page_id", "byline", F.regexp_replace("inner_text", "[^A-Za-z]", "").alias("letters"))
 
 
 # Nodes without navigation and footer; a heading that repeats the title goes where the scoring prunes.
