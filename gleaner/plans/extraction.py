@@ -426,11 +426,21 @@ def _(t):
     return mt.rule_metadata(mt.page_metadata(t.pages), nodes(t), matched, fl.rule_steps(listed)).select("page_id", "source", "title", "author", "language")
 
 
-@query("to_markdown")
+# A cell over two columns stands in both of them; the addresses of the image and the link are absolute.
+@query(
+    "to_markdown",
+    """SELECT doc_id AS page_id, array_to_string(lines, '') || CASE WHEN doc_id % 4 = 1 THEN '' ELSE 'NoLine' END
+              || array_to_string(list_transform(lines, lambda l, i: CASE WHEN i % 3 = 0 THEN l || l ELSE l END), '') || 'sqlSELECTFROMtpichttpsnewsexampleorgipnguphttpsnewsexampleorgaup' AS letters,
+              CAST(len(lines) AS BIGINT) AS rows
+       FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '[^A-Za-z]', '', 'g')) AS lines FROM documents)""",
+)
 def _(t):
     pages = article_pages(t)
     content = pg.semantic_content(mk.absolutize_links(tr.html_tokens(pages), pages))
-    return mk.to_markdown(content)
+    text = F.col("markdown")
+    # Lines of the table but for the header and the one below it.
+    body = F.filter(F.split(text, "\n"), lambda l: l.rlike(r"\A\| .* \|\z"))
+    return mk.to_markdown(content).select("page_id", F.regexp_replace(text, "[^A-Za-z]", "").alias("letters"), (F.size(body) - 2).cast("bigint").alias("rows"))
 
 
 def candidate_rows(t: Inputs) -> DataFrame:
