@@ -369,6 +369,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, search: Search = Sear
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, search: Search = Search(), id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that hold no item. Rows that share the id of a leak go with it; a null id is matched as well."""
-    leaks = find_leaks(documents, benchmark, search, id, text).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return documents.join(leaks, documents[id].eqNullSafe(F.col("_leak_id")), "left_anti")
+    """The documents that hold no item. Every row is judged by its own text, told apart by its 64-bit hash, whatever its id."""
+    mark = F.xxhash64(F.col(f"`{text}`"))
+    leaks = find_leaks(documents.select(mark.alias("_mark"), F.col(f"`{text}`").alias("_text")), benchmark, search, "_mark", "_text")
+    return documents.join(leaks.select(F.col("doc_id").alias("_leak")).distinct(), mark == F.col("_leak"), "left_anti")

@@ -419,6 +419,14 @@ def test_leaks(spark):
     assert decontamination.drop_contaminated(df, benchmark(spark, items)).count() == 300 - len(found)
 
 
+def test_leaks_go_by_their_own_text(spark):
+    item = "the quick brown fox jumps over the lazy dog while seven wizards brew strong potions near quiet rivers every winter evening"
+    clean = "completely other words about gardens and the slow growth of old apple trees behind a wall of grey stone"
+    docs = [(None, f"{clean} one"), (None, f"before {item} after"), (7, f"{clean} two"), (7, item), (8, item), (9, None), (9, ""), (10, f"{clean} two")]
+    left = decontamination.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark(spark, [(1, item)]))
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([d for d in docs if item not in (d[1] or "")], key=repr)
+
+
 def test_leaks_of_words_that_one_document_holds(spark):
     """Items whose words occur in one document each are found, word for word and paraphrased, among many documents without them."""
     rng = random.Random(12)
