@@ -4,8 +4,8 @@ Every distinct set of shingles is dealt into segments, more than its size band a
 different shingles, and each segment is the exclusive or of its shingles' hashes. Two
 sets within the threshold have the same shingles in some segments at least (pigeonhole);
 classes that agree in a segment are candidates. Sketches of parity bits, one flipped by
-each shingle, differ in no more bits than the sets do, which rules out most pairs that
-a bucket would still have to compare. What is left is verified on the exact sets.
+each shingle, differ in no more bits than the sets do, which rules out most candidates
+before any text moves. What is left is verified on the exact sets.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ from .common import chunks, columns, connected_components, pairs
 
 #: Fixed odd multipliers of the hash.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-SKETCH = "doc_id long, mark long, n_shingles long, f1 long, f2 long, keys array<long>"
-SETS = "n_shingles long, f1 long, f2 long, shingles array<long>"
+SKETCH = "doc_id long, mark long, n_shingles long, f1 long, f2 long, keys array<long>, bits array<long>"
+BODIES = "n_shingles long, f1 long, f2 long, body binary"
 
 
 @dataclass(frozen=True)
@@ -121,14 +122,25 @@ def segment_keys(shingles: np.ndarray, level: int, join: Join) -> np.ndarray:
     return keys[~little] if little.sum() <= join.spare(level) else keys
 
 
-def parity_sketch(shingles: np.ndarray, words: int) -> np.ndarray:
-    """Bits of ``words`` 64-bit words, of which every shingle flips one."""
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Bits of which every shingle flips one: one to two for a shingle, in a power of two of 64-bit words.
+
+    The exclusive or of the halves of a sketch is the sketch of half as many words.
+    """
+    words = 1 << max(0, int(len(shingles)).bit_length() - 6)
     bits = np.zeros(words, np.uint64)
     mixed = mix(shingles + M2)
     np.bitwise_xor.at(bits, ((mixed >> np.uint64(32)) % np.uint64(words)).astype(np.int64), np.uint64(1) << (mixed & np.uint64(63)))
     return bits
 
 
+def halved(bits: np.ndarray, words: int) -> np.ndarray:
+    """The sketch in so many words, a power of two."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
 def fingerprints(shingles: np.ndarray) -> tuple[int, int]:
     """Two sums that tell sets apart."""
     with np.errstate(over="ignore"):
@@ -158,8 +170,8 @@ def sketches(rows: DataFrame, join: Join) -> DataFrame:
                 keys.append(np.concatenate([np.zeros(0, np.uint64), *[segment_keys(own, level, join) for level in levels]]))
                 drawn.add(pair)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), ragged_array(keys)],
-                ["doc_id", "mark", "n_shingles", "f1", "f2", "keys"],
+                [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), ragged_array(keys), ragged_array([parity_sketch(s) for s in sets])],
+                ["doc_id", "mark", "n_shingles", "f1", "f2", "keys", "bits"],
             )
 
     return rows.mapInArrow(run, SKETCH)
@@ -178,16 +190,16 @@ def in_bitmap(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[slots // 32] >> (slots % 32).astype(np.uint32)) & 1 == 1
 
 
-def exact_sets(rows: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
-    """Sets (n_shingles, f1, f2, shingles) of the documents whose id is a ``root`` of the wanted classes, and of a few more.
+def bodies(rows: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """The words of one text (node, body) of each wanted class, compressed: a fourth of the size of its set.
 
-    The wanted ids are sent as a bitmap of their hashes, which has ``bitmap`` bits at any
-    size of the input; where it fills up, more sets are built than needed, none is missed.
+    The ids of the wanted classes are sent as a bitmap of their hashes, which has ``bitmap`` bits at any
+    size of the input; where it fills up, more texts are sent than needed, none is missed.
     """
     sent = rows.sparkSession.sparkContext.broadcast(bitmap_of(wanted, F.xxhash64("root"), join.bitmap))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHash()
+        known, squeeze = WordHash(), zstandard.ZstdCompressor()
         for batch in batches:
             slots = batch.column(0).to_numpy(zero_copy_only=False)
             hit = in_bitmap(sent.value, slots)
@@ -196,12 +208,16 @@ def exact_sets(rows: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
                     known.clear()
                 sets = [shingle_set(t, known, join.words) for t in texts]
                 prints = [fingerprints(s) for s in sets]
+                packed = [squeeze.compress(b" ".join(t.lower().split())) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), ragged_array(sets)],
-                    ["n_shingles", "f1", "f2", "shingles"],
+                    [pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), pa.array(packed, pa.binary())],
+                    ["n_shingles", "f1", "f2", "body"],
                 )
 
-    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(join.bitmap)).alias("slot"), "text").mapInArrow(run, SETS)
+    found = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(join.bitmap)).alias("slot"), "text").mapInArrow(run, BODIES)
+    # One text of each class, then its node: both by the same columns, so the texts are shuffled once.
+    found = found.groupBy("n_shingles", "f1", "f2").agg(F.first("body").alias("body"))
+    return found.join(wanted.select("node", "n_shingles", "f1", "f2"), ["n_shingles", "f1", "f2"]).select("node", "body")
 
 
 def bucket_members(drawn: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
@@ -246,53 +262,85 @@ def near_size(a: str, b: str, join: Join) -> F.Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * join.percent
 
 
-def verified(candidates: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) whose exact sets are within the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+def not_too_far(candidates: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose parity sketches differ in no more bits than linked sets of their sizes may."""
+    left = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("bits").alias("x"))
+    right = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("m"), F.col("bits").alias("y"))
     both = candidates.join(left, "a").join(right, "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(100 * common >= join.percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+    # Sizes of linked sets are less than a factor of two apart, so their sketches are as long or one is twice as long.
+    words = F.least(F.size("x"), F.size("y"))
+    half = lambda c: F.when(F.size(c) == words, F.col(c)).otherwise(F.zip_with(F.slice(c, 1, words), F.slice(c, words + 1, words), lambda p, q: p.bitwiseXOR(q)))
+    apart = F.aggregate(F.zip_with(half("x"), half("y"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, n: total + n)
+    most = F.floor((F.col("n") + F.col("m")) * (100 - join.percent) / (100 + join.percent))
+    return both.filter((F.greatest(F.size("x"), F.size("y")) > 2 * words) | (apart <= most)).select("a", "b")
+
 
+def verified(candidates: DataFrame, rows: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
+    """The pairs (a, b) whose exact sets are within the threshold."""
+    candidates = cut_lineage(candidates)
+    nodes = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = cut_lineage(bodies(rows, cut_lineage(nodes.join(classes.select("node", "root", "n_shingles", "f1", "f2"), "node")), join))
+    words, percent = join.words, join.percent
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, open_ = WordHash(), zstandard.ZstdDecompressor()
+        last, right = None, None
+        for batch in batches:
+            if len(known) > 150_000:
+                known.clear()
+            fits = []
+            for node, x, y in zip(*(batch.column(c) for c in ("b", "x", "y")), strict=True):
+                if node.as_py() != last:  # pairs come by their second end
+                    last, right = node.as_py(), shingle_set(open_.decompress(y.as_py()), known, words)
+                left = shingle_set(open_.decompress(x.as_py()), known, words)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                fits.append(100 * common >= percent * (len(left) + len(right) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(fits, pa.bool_()))
 
-def rest_pairs(active: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    left, right = (texts.select(F.col("node").alias(end), F.col("body").alias(name)) for end, name in (("a", "x"), ("b", "y")))
+    return candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def rest_pairs(labelled: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """Pairs within a bucket whose labels differ and whose parity sketches allow a link.
 
-    A bucket is dealt into blocks, and each pair of blocks is one group, so that no group
-    is larger than two blocks. Only pairs that pass the bound leave a group.
+    One end of such a pair at least does not bear the bucket's commonest label. These
+    members and all members are dealt into blocks, and a block of either makes a group, so
+    that no group is larger than two blocks and a bucket with few such members makes few
+    groups. Only pairs that pass the bound leave a group.
     """
+    common = labelled.groupBy("key", "label").agg(F.count("*").alias("have"))
+    common = common.groupBy("key").agg(F.max(F.struct("have", -F.col("label"))).alias("top"), F.sum("have").alias("all"))
+    common = common.select("key", (-F.col("top.col2")).alias("common"), (F.col("all") - F.col("top.have")).alias("odd")).filter("odd > 0")
+    rows = labelled.join(common, "key").join(classes.select("node", "bits"), "node")
+    blocks = {side: F.ceil(F.col(count) / join.block).cast("int") for side, count in (("odd", "odd"), ("any", "rows"))}
 
-    @F.pandas_udf("array<long>")
-    def sketched(shingles: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([parity_sketch(np.asarray(x, np.int64).view(np.uint64), 1 + int(math.log2(k))).view(np.int64) for x, k in zip(shingles, n, strict=True)])
+    def dealt(side: str, other: str) -> F.Column:
+        """A place for each group of this side's block with a block of the other side."""
+        own = F.pmod(F.xxhash64("node"), blocks[side]).cast("int")
+        return F.transform(F.sequence(F.lit(0), blocks[other] - 1), lambda o: F.struct(F.lit(side == "odd").alias("odd"), (own if side == "odd" else o).alias("low"), (o if side == "odd" else own).alias("high")))
 
-    bits = sets.join(active.select("node").distinct(), "node", "left_semi").select("node", sketched("shingles", F.size("shingles")).alias("bits"))
-    rows = active.join(bits, "node").withColumn("blocks", F.ceil(F.col("rows") / join.block).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+    places = F.concat(dealt("any", "odd"), F.when(F.col("label") != F.col("common"), dealt("odd", "any")).otherwise(F.array()))
+    rows = rows.select("key", "node", "n", "label", "bits", F.explode(places).alias("place")).select("key", "node", "n", "label", "bits", "place.*")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node")
-        node, n, label, own = (group[c].to_numpy() for c in ("node", "n", "label", "own"))
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        lengths = np.array([len(b) for b in group["bits"]])
-        table = np.zeros((len(group), lengths.max()), np.uint64)
-        for k, b in enumerate(group["bits"]):
-            table[k, : len(b)] = np.asarray(b, np.int64).view(np.uint64)
+        node, n, label, odd = (group[c].to_numpy() for c in ("node", "n", "label", "odd"))
+        words = min(len(b) for b in group["bits"])
+        table = np.stack([halved(np.asarray(b, np.int64).view(np.uint64), words) for b in group["bits"]])
         a, b = [], []
-        for i in np.flatnonzero(own == low):
-            rest = np.flatnonzero((own == high) & (label != label[i]) & ((low != high) | (np.arange(len(group)) > i)))
+        for i in np.flatnonzero(odd):
+            rest = np.flatnonzero(~odd & (label != label[i]))
             rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * join.percent]
             for begin in range(0, len(rest), 256):
                 part = rest[begin : begin + 256]
                 bound = (n[part] + n[i]) * (100 - join.percent) // (100 + join.percent)
                 far = np.bitwise_count(table[part] ^ table[i]).sum(1, dtype=np.int64)
-                close = part[(lengths[part] != lengths[i]) | (far <= bound)]
+                close = part[far <= bound]
                 a += np.minimum(node[close], node[i]).tolist()
                 b += np.maximum(node[close], node[i]).tolist()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return rows.select("key", "low", "high", "own", "node", "n", "label", "bits").groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
 
 
 def ngram_components(documents: DataFrame, join: Join = Join(), id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -313,29 +361,23 @@ def ngram_components(documents: DataFrame, join: Join = Join(), id: str = "doc_i
 def linked_rows(rows: DataFrame, join: Join) -> DataFrame:
     """One row per row (doc_id, text): its id, the text's hash (``mark``), n_shingles, component_id and a node of its component (``head``)."""
     drawn = cut_lineage(sketches(rows.select("doc_id", F.xxhash64("text").alias("mark"), "text"), join))
-    classes = drawn.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("root"))
+    classes = drawn.filter("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("root"), F.first("bits").alias("bits"))
     classes = cut_lineage(classes.withColumn("node", F.monotonically_increasing_id()))
     members, central = with_pivots(bucket_members(drawn, classes, join))
     members = cut_lineage(members)
 
-    wanted = cut_lineage(members.select("node").distinct().join(classes, "node"))
-    found = exact_sets(rows, wanted, join)
-    # One row of each class, then its node: both by the same columns, so the sets are shuffled once.
-    sets = found.groupBy("n_shingles", "f1", "f2").agg(F.first("shingles").alias("shingles"))
-    sets = cut_lineage(sets.join(wanted.select("node", "n_shingles", "f1", "f2"), ["n_shingles", "f1", "f2"]).select("node", "shingles"))
-
     star = members.filter("node != pivot").filter(near_size("n", "pivot_n", join))
     star = star.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    links = cut_lineage(verified(star, sets, join))
+    star = cut_lineage(not_too_far(star, classes, join))
+    links = cut_lineage(verified(star, rows, classes, join))
 
     ends = pairs(links, ("a", "b"), ("b", "a"), ("a", "a"), ("b", "b")).select(F.col("u").alias("node"), F.col("v").alias("mate"))
     ranked = ends.join(central.withColumnRenamed("node", "mate"), "mate")
     labels = ranked.groupBy("node").agg(F.max(F.struct("central", -F.col("mate"))).alias("best")).select("node", (-F.col("best.col2")).alias("label"))
     labelled = members.filter("node != pivot AND rows > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rest = rest_pairs(labelled.join(mixed, "key").select("key", "node", "n", "label", "rows"), sets, join)
+    rest = rest_pairs(labelled.select("key", "node", "n", "label", "rows"), classes, join)
     rest = rest.join(star, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(rest, sets, join))
+    links = links.unionByName(verified(rest, rows, classes, join))
 
     joined = connected_components(links)
     named = classes.select("node", "root", "n_shingles", "f1", "f2").join(joined.withColumnRenamed("root", "head"), "node", "left").withColumn("head", F.coalesce("head", "node"))
