@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -221,7 +220,7 @@ def bodies(rows: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
 
 
 def bucket_members(drawn: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
-    """(key, node, n, rows) of every segment that two classes or more share.
+    """(key, node, n, rows) of every segment that two classes or more share; of segments with the same classes, one.
 
     Until it is known that a key is shared, a class goes by one of its fingerprints alone.
     All keys are shuffled once, added up in the tasks first. Those found to be shared are
@@ -243,7 +242,10 @@ def bucket_members(drawn: DataFrame, classes: DataFrame, join: Join) -> DataFram
 
     found = drawn.select("f1", "keys").mapInArrow(meet, "f1 long, key long").join(shared, "key").distinct()
     found = cut_lineage(found.join(classes.select("f1", "node", F.col("n_shingles").alias("n")), "f1").select("key", "node", "n"))
-    return found.join(found.groupBy("key").agg(F.count("*").alias("rows")), "key")
+    # Near copies share many segments: one bucket stands for all with its members, told by two 64-bit sums of their hashes.
+    alike = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"s{seed}") for seed in (1, 2)]
+    buckets = found.groupBy("key").agg(F.count("*").alias("rows"), *alike).groupBy("rows", "s1", "s2").agg(F.min("key").alias("key"))
+    return found.join(buckets.select("key", "rows"), "key")
 
 
 def with_pivots(members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -323,24 +325,45 @@ def rest_pairs(labelled: DataFrame, classes: DataFrame, join: Join) -> DataFrame
     places = F.concat(dealt("any", "odd"), F.when(F.col("label") != F.col("common"), dealt("odd", "any")).otherwise(F.array()))
     rows = rows.select("key", "node", "n", "label", "bits", F.explode(places).alias("place")).select("key", "node", "n", "label", "bits", "place.*")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        node, n, label, odd = (group[c].to_numpy() for c in ("node", "n", "label", "odd"))
-        words = min(len(b) for b in group["bits"])
-        table = np.stack([halved(np.asarray(b, np.int64).view(np.uint64), words) for b in group["bits"]])
-        a, b = [], []
-        for i in np.flatnonzero(odd):
-            rest = np.flatnonzero(~odd & (label != label[i]))
-            rest = rest[np.minimum(n[rest], n[i]) * 100 >= np.maximum(n[rest], n[i]) * join.percent]
-            for begin in range(0, len(rest), 256):
-                part = rest[begin : begin + 256]
-                bound = (n[part] + n[i]) * (100 - join.percent) // (100 + join.percent)
-                far = np.bitwise_count(table[part] ^ table[i]).sum(1, dtype=np.int64)
-                close = part[far <= bound]
-                a += np.minimum(node[close], node[i]).tolist()
-                b += np.maximum(node[close], node[i]).tolist()
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long").distinct()
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole groups, many at once; the last one of a batch waits for the next."""
+        open_ = []
+        for batch in batches:
+            open_.append(batch)
+            table = pa.Table.from_batches(open_).combine_chunks()
+            cut = int(borders(table)[-1]) if len(table) else 0
+            yield table.slice(0, cut)
+            open_ = table.slice(cut).combine_chunks().to_batches()
+        yield pa.Table.from_batches(open_, batch.schema) if open_ else None
+
+    def borders(table: pa.Table) -> np.ndarray:
+        place = [table.column(c).to_numpy() for c in ("key", "low", "high")]
+        return np.r_[0, 1 + np.flatnonzero(np.any([x[1:] != x[:-1] for x in place], axis=0))]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches):
+            if table is None or not len(table):
+                continue
+            node, n, label, odd = (table.column(c).to_numpy() for c in ("node", "n", "label", "odd"))
+            bits = [np.asarray(b, np.int64).view(np.uint64) for b in table.column("bits").to_numpy()]
+            a, b = [], []
+            for rows in np.split(np.arange(len(table)), borders(table)[1:]):
+                words = min(len(bits[i]) for i in rows)
+                sketch = np.stack([halved(bits[i], words) for i in rows])
+                every, some = np.flatnonzero(~odd[rows]), np.flatnonzero(odd[rows])
+                step = 1 + (1 << 19) // (1 + len(every) * words)
+                for begin in range(0, len(some), step):
+                    i, j = rows[some[begin : begin + step], None], rows[None, every]
+                    apart = np.bitwise_count(sketch[some[begin : begin + step], None] ^ sketch[None, every]).sum(2, dtype=np.int64)
+                    fits = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * join.percent)
+                    x, y = np.nonzero(fits & (apart <= (n[i] + n[j]) * (100 - join.percent) // (100 + join.percent)))
+                    a.append(node[i[x, 0]])
+                    b.append(node[j[0, y]])
+            a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    dealt_rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt_rows.mapInArrow(compare, "a long, b long").distinct()
 
 
 def ngram_components(documents: DataFrame, join: Join = Join(), id: str = "doc_id", text: str = "text") -> DataFrame:
