@@ -347,6 +347,25 @@ def test_linked_sets_share_a_key():
             assert keys[0] & keys[1]
 
 
+def test_parity_sketches_bound_the_difference():
+    rng = np.random.default_rng(9)
+    for n in [1, 2, 31, 64, 100, 500, 1_030, 3_000]:
+        for share in [0.0, 0.05, 0.5]:
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[int(share * n) :], rng.integers(0, 2**63, int(share * n)).astype(np.uint64)]))
+            x, y = ngram_join.parity_sketch(a), ngram_join.parity_sketch(b)
+            words = min(len(x), len(y))
+            apart = int(np.bitwise_count(ngram_join.halved(x, words) ^ ngram_join.halved(y, words)).sum())
+            assert apart <= len(np.setxor1d(a, b)) and (apart > 0 or share < 0.5 or n < 2)
+
+
+def test_half_a_sketch_is_the_sketch_of_half_as_many_words():
+    wide = np.arange(2_000, dtype=np.uint64)
+    bits = ngram_join.parity_sketch(wide)
+    assert len(bits) == 32 and len(ngram_join.halved(bits, 8)) == 8
+    assert int(np.bitwise_count(ngram_join.halved(bits, 8)).sum()) % 2 == len(wide) % 2
+
+
 # --- op8
 def test_secrets_by_brute_force(spark):
     rng = random.Random(9)
